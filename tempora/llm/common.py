@@ -70,6 +70,14 @@ def word_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[byte
         at = end
 
 
+def slices(batch, chars: int = 2_000_000) -> Iterator:
+    """A batch in consecutive parts of about so many characters of text, for work that holds every word of a part."""
+    size = batch["text"].str.len().fillna(0).to_numpy().astype("int64").cumsum() // chars
+    cuts = [0, *((size[1:] != size[:-1]).nonzero()[0] + 1).tolist(), len(size)] if len(size) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.iloc[a:b]
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, mod: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, text, label) of at most `per_class` labelled documents a class outside the held-out fold, chosen by a hash of doc_id.
 

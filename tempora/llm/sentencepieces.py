@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
+from tempora.llm.common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, CACHE = 3, 200_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +(?=\n|$)")
@@ -323,8 +325,7 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
         for whole in batches:
-            size = whole["text"].str.len().fillna(0).cumsum() // 1_500_000
-            for _, b in whole.groupby(size.to_numpy()):
+            for b in slices(whole, 1_500_000):
                 b = b.copy()
                 texts = [t if isinstance(t, str) else "" for t in b["text"]]
                 own = [c.encode(t) for t in texts]
