@@ -72,6 +72,13 @@ class Codec:
             return self.sp.encode(chunk[1:]) if chunk != " " else self.sp.encode("\n ")[2:]
         return self.sp.encode("\n" + chunk)[2:]
 
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes chunks in one call; those that start a word after a space are the bulk."""
+        new = [c for c in chunks if c not in self.memo and len(c) <= 64 and c[0] == " " and c != " "]
+        if len(self.memo) + len(new) > CACHE:
+            self.memo.clear()
+        self.memo.update(zip(new, self.sp.encode([c[1:] for c in new])))
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for i, chunk in enumerate(_CHUNK.findall(text)):
@@ -139,8 +146,10 @@ class Lattice:
         bare = np.flatnonzero(self.ids[:, 0] < 0)  # a character without a piece of its own: its bytes
         width = 1 + (points[bare] > 0x7F).astype(int) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
         score[bare, 0] = width * codec.byte_weight
-        self.pieces = np.ones(n, np.int32)
-        self.pieces[bare] = width
+        plain = bare[width == 1]
+        self.ids[plain, 0] = np.array(codec.bytes, np.int32)[points[plain].astype(np.int64)]
+        used = np.flatnonzero(np.isfinite(score).any(0)).max(initial=0) + 1
+        score, self.ids, most = score[:, :used], self.ids[:, :used], used
         beta = np.zeros(n + 1)
         order = np.argsort(left, kind="stable")
         ends = np.cumsum(np.bincount(left, minlength=1)) if n else np.zeros(1, int)
@@ -328,6 +337,7 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
             for b in slices(whole, 1_500_000):
                 b = b.copy()
                 texts = [t if isinstance(t, str) else "" for t in b["text"]]
+                c.learn(set().union(*(_CHUNK.findall(t) for t in texts)))
                 own = [c.encode(t) for t in texts]
                 keys = [xxhash.xxh64_intdigest(str(i)) for i in b["doc_id"].fillna(-1)]
                 drawn = sample(c, texts, keys, k)

@@ -44,13 +44,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a long."""
+    """(doc_id, text_hash, fp): fp holds the 64 bits as a long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 class Tree:
@@ -153,29 +153,38 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.select("fp").mapInPandas(deal, "shard int, fp long").groupBy("shard").applyInPandas(compare, "a long, b long")
 
 
-def groups(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of documents."""
+def _grouped(documents: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of all rows, table): for each distinct fingerprint its group's first row (no_id, doc_id, text_hash)."""
     fps = staged(fingerprints(documents))
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    distinct = staged(fps.groupBy("fp").agg(first))
     roots = components(edges(distinct, radius))
-    linked_ = staged(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least"))
-    least = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked_.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    table = distinct.join(of, distinct.fp == of._fp, "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(table, fps.fp == table._fp).select("doc_id", "fp", "component_id")
+    linked_ = staged(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"))
+    least = linked_.groupBy("root").agg(F.min("first").alias("least"))
+    of = linked_.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "root", "least")
+    table = distinct.join(of, distinct.fp == of._fp, "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("first"))
+    return fps, table
+
+
+def groups(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of documents."""
+    fps, table = _grouped(documents, radius)
+    return fps.join(table.select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """documents with one row of each group left: that of its least doc_id (a group without ids keeps one row)."""
-    kept = groups(documents, radius).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = staged(kept.select(F.col("doc_id").alias("_id"), "_n"))
-    left = documents.join(kept, documents.doc_id.eqNullSafe(kept._id)).drop("_id")
-    again = left.filter("_n > 1").drop("_n")
+    """documents with one row of each group left: its least doc_id's, and of that one's texts the one of the least hash."""
+    fps, table = _grouped(documents, radius)
+    kept = table.select("root", "first.doc_id", "first.text_hash").distinct()
+    again = fps.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
+    kept = staged(again.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n")))
+    keyed = documents.withColumn("_k", F.xxhash64("text"))
+    left = keyed.join(kept, keyed.doc_id.cast("long").eqNullSafe(kept._id) & (keyed._k == kept._h)).select(*documents.columns, "_n", "_id", "_h")
     if kept.filter("_n > 1").isEmpty():
-        return left.drop("_n")
-    order = [F.xxhash64(*(c for c in documents.columns if documents.schema[c].dataType.simpleString() in ("string", "bigint", "int")))]
-    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), order[0]).alias("_r")).select("_r.*")
-    return left.filter("_n = 1").drop("_n").unionByName(first)
+        return left.select(*documents.columns)
+    row = F.struct(*documents.columns)
+    first = left.filter("_n > 1").groupBy("_id", "_h").agg(F.min_by(row, F.to_json(row)).alias("_r")).select("_r.*")  # rows that repeat id and text
+    return left.filter("_n = 1").select(*documents.columns).unionByName(first)
 
 
 def query(documents: DataFrame) -> DataFrame:
