@@ -16,10 +16,10 @@ def rates(events: DataFrame, key: str, rows: str, width: str = "60 seconds") ->
     return events.withWatermark("ts", WATERMARK).groupBy(w, key).agg(F.sum(rows).alias("rows")).select(F.col("window.start").alias("start"), key, "rows")
 
 
-def hotspots(times: DataFrame, gap_s: int = 60, least: int = 5) -> DataFrame:
-    """Clusters of times whose gaps are gap_s at most."""
-    s = times.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", f"{gap_s} seconds").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return s.filter(F.col("n") >= least).select("n", "first", "last")
+def hotspots(times: DataFrame, key: str, gap_s: int = 60, least: int = 5) -> DataFrame:
+    """Clusters of a key's times whose gaps are gap_s at most; streaming sessions need a key."""
+    s = times.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", f"{gap_s} seconds").alias("s"), key).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return s.filter(F.col("n") >= least).select(key, "n", "first", "last")
 
 
 def mass_operations(events: DataFrame, rows: str) -> DataFrame:

@@ -9,7 +9,7 @@ def test_rates_and_hotspots(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts timestamp, table string, rows long")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    for i, (f, want) in enumerate([(lambda s: monitors.rates(s, "table", "rows"), (600,)), (monitors.hotspots, (10,)), (lambda s: monitors.mass_operations(s, "rows"), ("LOW",))]):
+    for i, (f, want) in enumerate([(lambda s: monitors.rates(s, "table", "rows"), (600,)), (lambda s: monitors.hotspots(s, "table"), (10,)), (lambda s: monitors.mass_operations(s, "rows"), ("LOW",))]):
         q = f(stream).writeStream.format("memory").queryName(f"m{i}").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         got = spark.sql(f"SELECT * FROM m{i}").collect()
