@@ -48,7 +48,7 @@ def masks(item: str) -> dict[str, int]:
 def myers(peq: dict[str, int], m: int, text: str, most: int) -> int:
     """The least edits between the whole item and any part of text, or most + 1 if there are more."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    vp, vn, score, best, left = full, 0, m, most + 1, len(text)
+    vp, vn, score, best, left = full, 0, m, min(m, most + 1), len(text)
     for c in text:
         left -= 1
         eq = peq.get(c, 0)

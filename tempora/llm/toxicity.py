@@ -131,7 +131,7 @@ def fit_texts(toxic: list[str], ordinary: list[str], prior: float | None = None)
     base = _train(usual[:100_000], 6144, 32)
     model = Model(_train(bad[:50_000], DICT_BYTES, 24), base, base[-32:-8], base[-200:-176], ())
     s = Scorer(model)
-    x = np.array([s.features(t) for t in [*toxic, *ordinary]], float).reshape(len(toxic) + len(ordinary), -1)
+    x = np.array([s.features(t) for t in [*toxic, *ordinary]], float).reshape(len(toxic) + len(ordinary), 2 * len(THRESHOLDS) + 3)
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     if not len(x):
         return Model(model.toxic, base, model.before, model.after, (-2.0, *[0.0] * (2 * len(THRESHOLDS) + 3)))

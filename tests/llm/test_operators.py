@@ -143,7 +143,9 @@ def test_decontamination():
 
 def test_line_dedup(spark):
     line = "this is the very line that many documents of this crawl repeat again and again"
-    rows = [(i, f"{line} {'!' * (i % 2)}\nown text number {chr(97 + i)} of the document {chr(97 + i) * 9}") for i in range(6)] + [(None, line), (9, None), (10, "short"), (2, f"{line} \nown text number c of the document ccccccccc")]
+    bits = lambda x: int(linededup.simhashes([linededup.normalised(x).encode().split()]).view(np.uint64)[0])
+    near = next(v for v in (f"{line} {w}" for w in ("ok", "so", "yes", "now", "still", "too", "here", "there", "well", "much", "more", "x", "y", "z", "q")) if 0 < (bits(v) ^ bits(line)).bit_count() <= 3)
+    rows = [(i, f"{near if i % 2 else line}\nown text number {chr(97 + i)} of the document {chr(97 + i) * 9}") for i in range(6)] + [(None, line), (9, None), (10, "short"), (2, f"{line} \nown text number c of the document ccccccccc")]
     got = {(r.doc_id, r.text) for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(line in (t or "") for _, t in got) == 1 and (9, None) in got and (10, "short") in got
     assert sum("own text" in (t or "") for _, t in got) == 6
