@@ -119,7 +119,7 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
 
 
 class Lattice:
-    """The lattices of many distinct chunks, end to end: choice[p, l] is the probability of the piece of l + 1 characters at p."""
+    """The lattices of many distinct chunks, end to end: size, ids and logp [p, s] are the pieces that may follow at p, and how likely each is."""
 
     def __init__(self, codec: Codec, chunks: list[str]):
         self.codec = codec
@@ -129,27 +129,38 @@ class Lattice:
         n = len(points)
         self.points, self.end = points, np.repeat(self.start + sizes, sizes)
         left = self.end - np.arange(n)
-        most = min(codec.longest, int(sizes.max(initial=1)))
-        score = np.full((n, most), -np.inf)
-        self.ids = np.full((n, most), -1, np.int32)
-        h, power = np.zeros(n, np.uint64), 1
-        for l in range(most):
-            keys, ids, weight = codec.tables[l]
-            ok = np.flatnonzero(left > l)
+        at, size, ids, score = [], [], [], []
+        bare = np.ones(n, bool)  # characters without a piece of their own: their bytes
+        h, power, ok = np.zeros(n, np.uint64), 1, np.arange(n)
+        for l in range(min(codec.longest, int(sizes.max(initial=1)))):
+            keys, own, weight = codec.tables[l]
+            ok = ok[left[ok] > l]
             power = power * _MUL & _MASK
             h[ok] += points[ok + l] * np.uint64(power)
             if not len(keys) or not len(ok):
                 continue
-            at = np.minimum(np.searchsorted(keys, h[ok]), len(keys) - 1)
-            hit = keys[at] == h[ok]
-            score[ok[hit], l], self.ids[ok[hit], l] = weight[at[hit]], ids[at[hit]]
-        bare = np.flatnonzero(self.ids[:, 0] < 0)  # a character without a piece of its own: its bytes
+            k = np.minimum(np.searchsorted(keys, h[ok]), len(keys) - 1)
+            hit = keys[k] == h[ok]
+            at.append(ok[hit])
+            ids.append(own[k[hit]].astype(np.int32))
+            score.append(weight[k[hit]])
+            size.append(np.full(len(at[-1]), l + 1, np.int8))
+            if l == 0:
+                bare[at[-1]] = False
+        bare = np.flatnonzero(bare)
         width = 1 + (points[bare] > 0x7F).astype(int) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
-        score[bare, 0] = width * codec.byte_weight
-        plain = bare[width == 1]
-        self.ids[plain, 0] = np.array(codec.bytes, np.int32)[points[plain].astype(np.int64)]
-        used = np.flatnonzero(np.isfinite(score).any(0)).max(initial=0) + 1
-        score, self.ids, most = score[:, :used], self.ids[:, :used], used
+        one = np.full(len(bare), -1, np.int32)
+        one[width == 1] = np.array(codec.bytes, np.int32)[points[bare[width == 1]].astype(np.int64)]
+        at, size, ids, score = (np.concatenate(x) for x in ([*at, bare], [*size, np.ones(len(bare), np.int8)], [*ids, one], [*score, width * codec.byte_weight]))
+        # the choices of a node side by side; a row is as wide as the most choices that a node has
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(n))
+        slot = np.empty(len(at), np.int64)
+        slot[order] = np.arange(len(at)) - first[at[order]]
+        wide = int(slot.max(initial=0)) + 1
+        self.size, self.ids = np.zeros((n, wide), np.int8), np.full((n, wide), -1, np.int32)
+        self.logp = np.full((n, wide), -np.inf)
+        self.size[at, slot], self.ids[at, slot], self.logp[at, slot] = size, ids, score
         beta = np.zeros(n + 1)
         order = np.argsort(left, kind="stable")
         ends = np.cumsum(np.bincount(left, minlength=1)) if n else np.zeros(1, int)
@@ -157,17 +168,15 @@ class Lattice:
             rows = order[ends[t - 1] : ends[t]]
             if not len(rows):
                 continue
-            m = min(t, most)
-            nxt = rows[:, None] + np.arange(1, m + 1)
-            c = score[rows, :m] + np.where(nxt < (rows + t)[:, None], beta[np.minimum(nxt, n)], 0.0)
+            nxt = rows[:, None] + self.size[rows]
+            c = self.logp[rows] + np.where(nxt < (rows + t)[:, None], beta[nxt], 0.0)
             top = c.max(1)
             beta[rows] = top + np.log(np.exp(c - top[:, None]).sum(1))
-            score[rows, :m] = c - beta[rows, None]
-        self.logp = score
-        self.cum = np.cumsum(np.exp(score), 1)
+            self.logp[rows] = c - beta[rows, None]
+        self.cum = np.cumsum(np.exp(self.logp), 1)
 
     def walk(self, occ: np.ndarray, at: np.ndarray, key: np.ndarray, sample: int, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Free choices from positions `at` to the ends of their chunks: (occ, position, length - 1, log p), in order of occ."""
+        """Free choices from positions `at` to the ends of their chunks: (occ, position, choice, log p), in order of occ."""
         out, step = [], 0
         end = self.end[at]
         while len(occ):
@@ -175,7 +184,7 @@ class Lattice:
             u = _uniform(key, sample, word, at - self.start_of(at)) * c[:, -1]
             l = np.minimum((c <= u[:, None]).sum(1), c.shape[1] - 1)
             out.append((occ, at, l, self.logp[at, l]))
-            at = at + l + 1
+            at = at + self.size[at, l]
             go = at < end
             occ, at, key, word, end = occ[go], at[go], key[go], word[go], end[go]
             step += 1
@@ -191,15 +200,15 @@ class Lattice:
             self._starts = np.repeat(self.start, np.diff(np.r_[self.start, len(self.points)]))
         return self._starts[at]
 
-    def expand(self, at: np.ndarray, l: np.ndarray) -> list[int]:
+    def expand(self, at: np.ndarray, l: np.ndarray) -> np.ndarray:
         """The ids of pieces; a character without a piece gives the ids of its bytes."""
         ids = self.ids[at, l]
         if (ids >= 0).all():
-            return ids.tolist()
+            return ids
         out: list[int] = []
         for i, p in zip(ids.tolist(), at.tolist()):
             out += [i] if i >= 0 else [self.codec.bytes[b] for b in chr(int(self.points[p])).encode("utf-8", "surrogatepass")]
-        return out
+        return np.array(out, np.int32)
 
 
 def sample(codec: Codec, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> list[list[tuple[list[int], float, float]]]:
@@ -218,7 +227,7 @@ def sample(codec: Codec, texts: list[str | None], keys: list[int], k: int = SAMP
     begin = np.searchsorted(docs_, np.arange(n_docs + 1))  # of each text's chunks
     ordinal = np.arange(len(docs_)) - begin[docs_]
     key = np.array([k_ & _MASK for k_ in keys], np.uint64)
-    # the bound of each text's search, and per text the unopened sets: (value, sample, decision, excluded lengths)
+    # the bound of each text's search, and per text the unopened sets: (value, sample, decision, excluded choices)
     bound = -np.log(-np.log(_uniform(key, 0)))
     open_: list[list[tuple]] = [[] for _ in texts]
     paths: list[list[tuple]] = [[] for _ in texts]
@@ -292,7 +301,7 @@ def sample(codec: Codec, texts: list[str | None], keys: list[int], k: int = SAMP
                 open_[d].append((float(-np.log(np.exp(-g) + e1 * np.exp(-max(mass_left, -700)))), i, n, (*out, bl)))
             bounds[d], branch[d] = g, (g, i, n, out, (bl, float(lat.logp[p, bl])))
             w = int(old[0][n])
-            starts.append((d, w, p + bl + 1))
+            starts.append((d, w, p + int(lat.size[p, bl])))
         occ, pos = [], []
         for d, w, p in starts:
             if p < lat.end[p - 1]:
@@ -314,7 +323,7 @@ def sample(codec: Codec, texts: list[str | None], keys: list[int], k: int = SAMP
     return result
 
 
-def digest(ids: list[int]) -> int:
+def digest(ids: list[int] | np.ndarray) -> int:
     return xxhash.xxh64_intdigest(np.array(ids, "<i4").tobytes()) - (1 << 63)
 
 
@@ -334,16 +343,16 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
         for whole in batches:
-            for b in slices(whole, 1_500_000):
+            for b in slices(whole, 500_000):
                 b = b.copy()
                 texts = [t if isinstance(t, str) else "" for t in b["text"]]
                 c.learn(set().union(*(_CHUNK.findall(t) for t in texts)))
-                own = [c.encode(t) for t in texts]
+                own = [np.array(c.encode(t), np.int32) for t in texts]
                 keys = [xxhash.xxh64_intdigest(str(i)) for i in b["doc_id"].fillna(-1)]
                 drawn = sample(c, texts, keys, k)
                 b["n_tokens"] = [len(x) for x in own]
                 b["ids" if ids else "ids_digest"] = own if ids else [digest(x) for x in own]
-                b["round_trip"] = [x == t for x, t in zip(c.sp.decode(own), texts)]
+                b["round_trip"] = [x == t for x, t in ((c.sp.decode(o.tolist()), t) for o, t in zip(own, texts))]
                 b["samples"] = [[{"rank": r + 1, "n_tokens": len(x), "log_prob": lp, "log_inclusion": li, **({"ids": x} if ids else {"digest": digest(x)})} for r, (x, lp, li) in enumerate(s)] for s in drawn]
                 yield b
 
