@@ -31,6 +31,8 @@ GRAM, DICT_BYTES, LEVEL, CACHE = 5, 16384, 6, 400_000
 #: A gram marks toxic text if this many toxic documents hold it and its share there is this many times the ordinary share.
 LEAST_DOCS, LIFT = 6, 30.0
 THRESHOLDS = (1, 2, 3, 4, 5)
+#: Windows of each ordinary document (of each MB of a long one) that the ordinary dictionary may be trained on.
+USUAL = 60
 
 
 @dataclass(frozen=True)
@@ -111,21 +113,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 
 def fit_texts(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Model:
-    """The model of two lists of texts. Each class is split: one half trains the dictionaries, all of it the calibration."""
-    memo: dict[bytes, set[bytes]] = {}
-
+    """The model of two lists of texts. Both the dictionaries and the calibration come from them."""
     def held_by(texts: list[str]) -> Counter:
         out: Counter[bytes] = Counter()
         for t in texts:
-            out.update(set().union(*(memo.setdefault(w, None) or memo.__setitem__(w, _grams(w)) or memo[w] for ws in word_blocks(t) for w in set(ws))))
+            out.update({g for ws in word_blocks(t) for w in set(ws) for g in _grams(w)})
         return out
 
     a, b = held_by(toxic), held_by(ordinary)
     least = LEAST_DOCS if len(toxic) >= 100 else 2
     marks = {g for g, n in a.items() if n >= least and n / len(toxic) >= LIFT * (b[g] + 0.5) / (len(ordinary) + 1)}
     rng = random.Random(42)
-    bad = [b" %b " % w for t in toxic for ws in word_blocks(t) for w in ws if len(memo[w] & marks) >= 2]
-    usual = [b" %b " % w for t in ordinary for ws in word_blocks(t) for w in ws]
+    bad = [b" %b " % w for t in toxic for ws in word_blocks(t) for w in ws if len(_grams(w) & marks) >= 2]
+    usual = [b" %b " % w for t in ordinary for ws in word_blocks(t) for w in rng.sample(ws, min(len(ws), USUAL))]
     rng.shuffle(bad)
     rng.shuffle(usual)
     base = _train(usual[:100_000], 6144, 32)
