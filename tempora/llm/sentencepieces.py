@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding, with sampled segmentations without replacement.
 
 Encoding is that of the given model; texts are cut where no piece of the model can reach across (before a run of spaces and
-around newlines), so that equal chunks are encoded once a batch. Decoding gives back the text.
+around newlines), so that equal chunks are encoded once. Decoding gives back the text.
 
 Sampling draws from the lattice of all segmentations of a text into pieces. A piece weighs 1 / (rank + 2), a character
 outside the vocabulary one byte piece a byte; backward sums make every lattice node a choice with known probabilities. The k
@@ -18,6 +18,7 @@ Map-only; whole texts.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from tempora.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, CACHE = 3, 200_000
+SAMPLES, NODES = 3, 2_000_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +(?=\n|$)")
 _MUL = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -53,97 +54,149 @@ class Codec:
         self.longest = max(len(p) for p, _ in pieces)
         weight = -np.log(np.arange(n) + 2.0)
         self.byte_weight = float(-np.log(n + 2.0))
+        # by length: the keys of all beginnings of pieces, and the id of each (-1: not a piece itself) with its weight
+        begins: list[dict[int, int]] = [{} for _ in range(self.longest)]
+        for p, i in pieces:
+            h = 0
+            for l, c in enumerate(p):
+                h = (h + ord(c) * pow(_MUL, l + 1, 1 << 64)) & _MASK
+                begins[l].setdefault(h, -1)
+            begins[-1 + len(p)][h] = i
         self.tables = []
-        for length in range(1, self.longest + 1):
-            own = sorted((_key(p), i) for p, i in pieces if len(p) == length)
-            keys = np.array([k for k, _ in own], np.uint64)
-            ids = np.array([i for _, i in own], np.int64)
-            self.tables.append((keys, ids, weight[ids] if len(ids) else np.zeros(0)))
-        self.memo: dict[str, list[int]] = {}
-        self.break_id = self.bytes[10]
-
-    def encode_chunk(self, chunk: str, first: bool) -> list[int]:
-        """A chunk's ids inside a text: only the first chunk gets the model's leading space."""
-        if first:
-            return self.sp.encode(chunk)
-        if chunk == "\n":
-            return [self.break_id]
-        if chunk[0] == " ":
-            return self.sp.encode(chunk[1:]) if chunk != " " else self.sp.encode("\n ")[2:]
-        return self.sp.encode("\n" + chunk)[2:]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes chunks in one call; those that start a word after a space are the bulk."""
-        new = [c for c in chunks if c not in self.memo and len(c) <= 64 and c[0] == " " and c != " "]
-        if len(self.memo) + len(new) > CACHE:
-            self.memo.clear()
-        self.memo.update(zip(new, self.sp.encode([c[1:] for c in new])))
+        for b in begins:
+            own = sorted(b.items())
+            ids = np.array([i for _, i in own], np.int32)
+            self.tables.append((np.array([h for h, _ in own], np.uint64), ids, weight[ids]))
+        self.lattice = Lattice(self)
+
+    def chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of chunks inside a text, each kind of chunk in one call; what stands before a chunk only keeps it from getting the leading space."""
+        plain = [c[1:] if c[0] == " " and c != " " else "\n" + c for c in chunks]
+        return [x if c[0] == " " and c != " " else x[2:] for c, x in zip(chunks, self.sp.encode(plain))]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for i, chunk in enumerate(_CHUNK.findall(text)):
-            if not i:
-                out += self.sp.encode(chunk)
-                continue
-            if (ids := self.memo.get(chunk)) is None:
-                if len(self.memo) >= CACHE:
-                    self.memo.clear()
-                ids = self.encode_chunk(chunk, False)
-                if len(chunk) <= 64:
-                    self.memo[chunk] = ids
-            out += ids
-        return out
+        words, _ = self.lattice.words([text])
+        return self.lattice.encoded(words).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
 
-def _key(piece: str) -> int:
-    h = 0
-    for i, c in enumerate(piece):
-        h = (h + ord(c) * pow(_MUL, i + 1, 1 << 64)) & _MASK
-    return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finish."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _uniform(key: np.ndarray, *parts) -> np.ndarray:
+def _seed(key: np.ndarray, *parts) -> np.ndarray:
     for p in parts:
         key = _mix(key + np.uint64(_MUL) * (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)))
+    return key
+
+
+def _unit(key: np.ndarray) -> np.ndarray:
     return ((key >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
 
 
+def _uniform(key: np.ndarray, *parts) -> np.ndarray:
+    return _unit(_seed(key, *parts))
+
+
+def _joined(parts: np.ndarray, first: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The runs first[i] : first[i + 1] of parts, for every i of pick, end to end."""
+    begin, size = first[pick], first[pick + 1] - first[pick]
+    stop = np.cumsum(size)
+    return parts[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
+
+
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype, *values):
+        self.a, self.n = np.empty(1 << 12, dtype), 0
+        self.add(np.array(values, dtype))
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.a):
+            self.a = np.concatenate([self.a[: self.n], np.empty(self.n // 2 + len(x), self.a.dtype)])
+        self.a[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+class _Index(dict):
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = out = len(self)
+        return out
+
+
 class Lattice:
-    """The lattices of many distinct chunks, end to end: size, ids and logp [p, s] are the pieces that may follow at p, and how likely each is."""
+    """The lattices of many distinct chunks, kept from one slice of texts to the next.
+
+    A node is a character's position; its edges, the longest first, are the pieces that may follow, with their log probabilities and
+    cumulated probabilities. A lattice that has outgrown NODES is begun anew, which changes no result.
+    """
 
-    def __init__(self, codec: Codec, chunks: list[str]):
+    def __init__(self, codec: Codec):
         self.codec = codec
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.done = _Index(), 0
+        self.start, self.points, self.first = _Column(np.int64), _Column(np.uint32), _Column(np.int64, 0)
+        self.own, self.own_first = _Column(np.int32), _Column(np.int64, 0)
+        self.size, self.last, self.node = _Column(np.int8), _Column(bool), _Column(np.int32)
+        self.ids, self.logp, self.cum = _Column(np.int32), _Column(float), _Column(float)
+
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' chunks as numbers in the lattice, and where each text begins; a text's first chunk has the model's leading space."""
+        if self.points.n > NODES:
+            self.clear()
+        found = [_CHUNK.findall(t or "") for t in texts]
+        for f in found:
+            if f:
+                f[0] = " " + f[0]
+        begin = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
+        words = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(begin[-1]))
+        if len(self.index) > self.done:
+            self._add(list(itertools.islice(self.index, self.done, None)))
+            self.done = len(self.index)
+        return words, begin
+
+    def encoded(self, words: np.ndarray) -> np.ndarray:
+        return _joined(self.own.a, self.own_first.a, words)
+
+    def _add(self, chunks: list[str]) -> None:
+        codec, base = self.codec, self.points.n
+        own = codec.chunk_ids(chunks)
+        self.own.add(np.fromiter(itertools.chain.from_iterable(own), np.int32))
+        self.own_first.add(self.own_first.a[self.own_first.n - 1] + np.cumsum([len(x) for x in own]))
         points = np.frombuffer("".join(chunks).replace(" ", "▁").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         sizes = np.array([len(c) for c in chunks])
-        self.start = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+        start = np.cumsum(sizes) - sizes
         n = len(points)
-        self.points, self.end = points, np.repeat(self.start + sizes, sizes)
-        left = self.end - np.arange(n)
+        left = np.repeat(start + sizes, sizes) - np.arange(n)
         at, size, ids, score = [], [], [], []
         bare = np.ones(n, bool)  # characters without a piece of their own: their bytes
         h, power, ok = np.zeros(n, np.uint64), 1, np.arange(n)
-        for l in range(min(codec.longest, int(sizes.max(initial=1)))):
-            keys, own, weight = codec.tables[l]
-            ok = ok[left[ok] > l]
+        for l, (keys, piece, weight) in enumerate(codec.tables):
+            if l:
+                go = left[ok] > l
+                ok, h = ok[go], h[go]
+            if not len(ok):
+                break
             power = power * _MUL & _MASK
-            h[ok] += points[ok + l] * np.uint64(power)
-            if not len(keys) or not len(ok):
-                continue
-            k = np.minimum(np.searchsorted(keys, h[ok]), len(keys) - 1)
-            hit = keys[k] == h[ok]
-            at.append(ok[hit])
-            ids.append(own[k[hit]].astype(np.int32))
-            score.append(weight[k[hit]])
+            h = h + points[ok + l] * np.uint64(power)
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            go = keys[k] == h
+            ok, h, k = ok[go], h[go], k[go]
+            whole = piece[k] >= 0
+            at.append(ok[whole])
+            ids.append(piece[k[whole]])
+            score.append(weight[k[whole]])
             size.append(np.full(len(at[-1]), l + 1, np.int8))
             if l == 0:
                 bare[at[-1]] = False
@@ -151,174 +204,175 @@ class Lattice:
         width = 1 + (points[bare] > 0x7F).astype(int) + (points[bare] > 0x7FF) + (points[bare] > 0xFFFF)
         one = np.full(len(bare), -1, np.int32)
         one[width == 1] = np.array(codec.bytes, np.int32)[points[bare[width == 1]].astype(np.int64)]
-        at, size, ids, score = (np.concatenate(x) for x in ([*at, bare], [*size, np.ones(len(bare), np.int8)], [*ids, one], [*score, width * codec.byte_weight]))
-        # the choices of a node side by side; a row is as wide as the most choices that a node has
+        at, size, ids, score = (np.concatenate(x) for x in ([*at[::-1], bare], [*size[::-1], np.ones(len(bare), np.int8)], [*ids[::-1], one], [*score[::-1], width * codec.byte_weight]))
         order = np.argsort(at, kind="stable")
-        first = np.searchsorted(at[order], np.arange(n))
-        slot = np.empty(len(at), np.int64)
-        slot[order] = np.arange(len(at)) - first[at[order]]
-        wide = int(slot.max(initial=0)) + 1
-        self.size, self.ids = np.zeros((n, wide), np.int8), np.full((n, wide), -1, np.int32)
-        self.logp = np.full((n, wide), -np.inf)
-        self.size[at, slot], self.ids[at, slot], self.logp[at, slot] = size, ids, score
+        at, size, ids, score = at[order], size[order], ids[order], score[order]
+        count = np.bincount(at, minlength=n)
+        stop = np.cumsum(count)
+        # backward sums, over nodes at the same distance from their chunk's end
+        far = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        edge = _joined(np.arange(len(at)), np.r_[0, stop], far)
+        a_, s_, c_ = at[edge], size[edge].astype(np.int64), score[edge]
+        inner = s_ < left[a_]
+        lead = np.cumsum(count[far]) - count[far]
+        cut = np.searchsorted(left[far], np.arange(1, int(sizes.max(initial=0)) + 2))
+        ends = np.r_[lead, len(at)]
         beta = np.zeros(n + 1)
-        order = np.argsort(left, kind="stable")
-        ends = np.cumsum(np.bincount(left, minlength=1)) if n else np.zeros(1, int)
-        for t in range(1, len(ends)):
-            rows = order[ends[t - 1] : ends[t]]
-            if not len(rows):
+        for x, y in zip(cut, cut[1:]):
+            if x == y:
                 continue
-            nxt = rows[:, None] + self.size[rows]
-            c = self.logp[rows] + np.where(nxt < (rows + t)[:, None], beta[nxt], 0.0)
-            top = c.max(1)
-            beta[rows] = top + np.log(np.exp(c - top[:, None]).sum(1))
-            self.logp[rows] = c - beta[rows, None]
-        self.cum = np.cumsum(np.exp(self.logp), 1)
-
-    def walk(self, occ: np.ndarray, at: np.ndarray, key: np.ndarray, sample: int, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Free choices from positions `at` to the ends of their chunks: (occ, position, choice, log p), in order of occ."""
-        out, step = [], 0
-        end = self.end[at]
-        while len(occ):
-            c = self.cum[at]
-            u = _uniform(key, sample, word, at - self.start_of(at)) * c[:, -1]
-            l = np.minimum((c <= u[:, None]).sum(1), c.shape[1] - 1)
-            out.append((occ, at, l, self.logp[at, l]))
-            at = at + self.size[at, l]
-            go = at < end
-            occ, at, key, word, end = occ[go], at[go], key[go], word[go], end[go]
-            step += 1
-        if not out:
-            z = np.zeros(0, np.int64)
-            return z, z, z, np.zeros(0)
-        occ, at, l, lp = (np.concatenate(x) for x in zip(*out))
-        o = np.argsort(occ, kind="stable")
-        return occ[o], at[o], l[o], lp[o]
-
-    def start_of(self, at: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_starts"):
-            self._starts = np.repeat(self.start, np.diff(np.r_[self.start, len(self.points)]))
-        return self._starts[at]
-
-    def expand(self, at: np.ndarray, l: np.ndarray) -> np.ndarray:
+            a, b = ends[x], ends[y]
+            c = c_[a:b] + np.where(inner[a:b], beta[a_[a:b] + s_[a:b]], 0.0)
+            begin, many = lead[x:y] - a, count[far[x:y]]
+            top = np.maximum.reduceat(c, begin)
+            beta[far[x:y]] = total = top + np.log(np.add.reduceat(np.exp(c - np.repeat(top, many)), begin))
+            c_[a:b] = c - np.repeat(total, many)
+        score[edge] = c_
+        run = np.cumsum(np.exp(score))
+        cum = run - np.repeat(np.r_[0.0, run[stop[:-1] - 1]], count)
+        cum[stop - 1] = np.inf
+        self.start.add(base + start)
+        self.points.add(points.astype(np.uint32))
+        self.first.add(self.first.a[self.first.n - 1] + stop)
+        self.size.add(size)
+        self.last.add(size == left[at])
+        self.node.add((base + at).astype(np.int32))
+        self.ids.add(ids)
+        self.logp.add(score)
+        self.cum.add(cum)
+
+    def walk(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Free choices from nodes to the ends of their chunks: the edges, and how many each walk took. `seed` is the hash at each node."""
+        first, cum, size, last = self.first.a, self.cum.a, self.size.a, self.last.a
+        steps, walk, count = [], np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(walk):
+            u, e = _unit(_mix(seed)), first[at]
+            on = np.flatnonzero(cum[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[cum[e[on]] <= u[on]]
+            steps.append((walk, e))
+            count[walk] += 1
+            go = np.flatnonzero(~last[e])
+            step = size[e[go]]
+            walk, at, seed = walk[go], at[go] + step, seed[go] + np.uint64(_MUL) * step.astype(np.uint64)
+        where = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        for i, (w, e) in enumerate(steps):
+            out[where[w] + i] = e
+        return out, count
+
+    def expand(self, edges: np.ndarray) -> np.ndarray:
         """The ids of pieces; a character without a piece gives the ids of its bytes."""
-        ids = self.ids[at, l]
+        ids = self.ids.a[edges]
         if (ids >= 0).all():
             return ids
         out: list[int] = []
-        for i, p in zip(ids.tolist(), at.tolist()):
-            out += [i] if i >= 0 else [self.codec.bytes[b] for b in chr(int(self.points[p])).encode("utf-8", "surrogatepass")]
+        for i, p in zip(ids.tolist(), self.points.a[self.node.a[edges]].tolist()):
+            out += [i] if i >= 0 else [self.codec.bytes[b] for b in chr(p).encode("utf-8", "surrogatepass")]
         return np.array(out, np.int32)
 
 
+#: No logarithm of an exponential draw made from 53 bits is lower.
+LEAST_LOG_DRAW = -37.5
+
+
+def _leaves(lat: Lattice, edges: list[np.ndarray], skip: np.ndarray, bound: np.ndarray, key: np.ndarray, j: int, need: int, n: int = 512) -> list[list[tuple[float, int]]]:
+    """For each path the `need` best sets that leave it at one of its nodes from `skip` on: (value, node).
+
+    A set's log mass is at most that of the path before its node, which only falls, and its value falls with the logarithm of its
+    draw less its log mass. Where no draw could bring a later node among the best, the look ends; other paths are looked at further.
+    """
+    wide = max(need, min(n, max(map(len, edges))))
+    lp = np.zeros((len(edges), wide))
+    for row, e in zip(lp, edges):
+        row[: len(e)] = lat.logp.a[e[:wide]]
+    at, run = np.arange(wide), np.cumsum(lp, 1)
+    with np.errstate(divide="ignore"):
+        mass = run - lp + np.log(-np.expm1(np.minimum(lp, 0.0)))
+    late = np.log(-np.log(_uniform(_seed(key, j + 1)[:, None], at, 77))) - mass
+    late[at < skip[:, None]] = np.inf
+    best = np.argpartition(late, need - 1, 1)[:, :need]
+    value = np.take_along_axis(late, best, 1)
+    open_ = np.flatnonzero((np.array([len(e) for e in edges]) > wide) & (value.max(1) >= LEAST_LOG_DRAW - run[:, -1]))
+    out = [[(-v, i) for v, i, w in zip(vs, ns, ls) if w < np.inf] for vs, ns, ls in zip(np.logaddexp(-bound[:, None], value).tolist(), best.tolist(), value.tolist())]
+    if len(open_):
+        for i, found in zip(open_, _leaves(lat, [edges[i] for i in open_], skip[open_], bound[open_], key[open_], j, need, n * 4)):
+            out[i] = found
+    return out
+
+
 def sample(codec: Codec, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> list[list[tuple[list[int], float, float]]]:
     """For each text up to k distinct segmentations, best perturbed value first: (ids, log p, log inclusion)."""
-    index: dict[str, int] = {}
-    words, docs = [], []
-    for d, t in enumerate(texts):
-        for i, c in enumerate(_CHUNK.findall(t or "")):
-            words.append(index.setdefault(" " + c if not i else c, len(index)))
-            docs.append(d)
-    n_docs = len(texts)
-    if not index:
-        return [[([], 0.0, 0.0)] for _ in texts]
-    lat = Lattice(codec, list(index))
-    words_, docs_ = np.array(words), np.array(docs)
-    begin = np.searchsorted(docs_, np.arange(n_docs + 1))  # of each text's chunks
-    ordinal = np.arange(len(docs_)) - begin[docs_]
+    return _sample(codec.lattice, *codec.lattice.words(texts), keys, k)
+
+
+def _sample(lat: Lattice, words: np.ndarray, begin: np.ndarray, keys: list[int], k: int) -> list[list[tuple[list[int], float, float]]]:
+    count = np.diff(begin)
+    ordinal = np.arange(len(words)) - np.repeat(begin[:-1], count)
     key = np.array([k_ & _MASK for k_ in keys], np.uint64)
-    # the bound of each text's search, and per text the unopened sets: (value, sample, decision, excluded choices)
-    bound = -np.log(-np.log(_uniform(key, 0)))
-    open_: list[list[tuple]] = [[] for _ in texts]
-    paths: list[list[tuple]] = [[] for _ in texts]
-    active = np.flatnonzero(np.diff(begin) > 0)
-    occ0 = np.arange(len(docs_))
-    path = lat.walk(occ0, lat.start[words_[occ0]], key[docs_[occ0]], 0, ordinal[occ0])
-    bounds = {int(d): float(bound[d]) for d in active}
-    branch: dict[int, tuple] = {}
+    first, size, last, node, logp = lat.first.a, lat.size.a, lat.last.a, lat.node.a, lat.logp.a
+    # per text: the bound of its search, its paths, and the unopened sets (value, sample, node, excluded edges)
+    bounds = dict(zip(np.flatnonzero(count).tolist(), (-np.log(-np.log(_uniform(key, 0))))[count > 0].tolist()))
+    open_: list[list[tuple]] = [[] for _ in keys]
+    paths: list[list[np.ndarray]] = [[] for _ in keys]
+    head = {d: (np.zeros(0, np.int32), 0, 0) for d in bounds}  # the part that a text's next path has already, and where it goes on: chunk, node (0: its first)
     for j in range(k):
-        o, at, l, lp = path
-        cut = np.searchsorted(docs_[o], np.arange(n_docs + 1))
-        pieces = []
-        for d in bounds:
-            a, b = cut[d], cut[d + 1]
-            pieces.append((o[a:b], at[a:b], l[a:b], lp[a:b]))
-            if d in branch:  # the part before the branch, the branch itself, then what was walked
-                old, n, (bl, blp) = paths[d][branch[d][1]], branch[d][2], branch[d][4]
-                head = tuple(x[:n] for x in old)
-                mid = (old[0][n : n + 1], old[1][n : n + 1], np.array([bl]), np.array([blp]))
-                pieces[-1] = tuple(np.concatenate(x) for x in zip(head, mid, pieces[-1]))
-            paths[d].append(pieces[-1])
         if not bounds:
             break
         ds = list(bounds)
-        own_lp = np.concatenate([p[3] for p in pieces])
-        lens = np.array([len(p[3]) for p in pieces])
-        first = np.r_[0, np.cumsum(lens)[:-1]]
-        total = np.cumsum(own_lp)
-        before = total - own_lp - np.repeat(total[first] - own_lp[first], lens)
-        # sets that leave this path at one of its nodes; nodes before the branch belong to sets that are open already
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            mass = before + np.log(-np.expm1(np.minimum(own_lp, 0.0)))
-            skip = np.array([branch[d][2] + 1 if d in branch else 0 for d in ds])
-            n_in = np.arange(len(own_lp)) - np.repeat(first, lens)
-            mass[n_in < np.repeat(skip, lens)] = -np.inf
-            e = -np.log(_uniform(np.repeat(key[ds], lens), j + 1, n_in, 77))
-            limit = np.repeat(np.array([bounds[d] for d in ds]), lens)
-            value = np.where(mass > -700, -np.log(np.exp(-limit) + e * np.exp(-np.maximum(mass, -700))), -np.inf)
-        for _ in range(k - j):
-            top = np.maximum.reduceat(value, first)
-            where = np.flatnonzero(value == np.repeat(top, lens))
-            which = np.repeat(np.arange(len(ds)), lens)[where]
-            _, one = np.unique(which, return_index=True)
-            for w, g in zip(which[one], where[one]):
-                if value[g] > -np.inf:
-                    open_[ds[w]].append((float(value[g]), j, int(n_in[g]), (int(np.concatenate([pieces[w][2]])[n_in[g]]),)))
-            value[where] = -np.inf
-        branch, starts = {}, []
+        rest = np.concatenate([np.arange(head[d][1], begin[d + 1] - begin[d]) + begin[d] for d in ds])
+        at = lat.start.a[words[rest]]
+        many = np.array([begin[d + 1] - begin[d] - head[d][1] for d in ds])
+        lead = np.cumsum(many) - many
+        seed = _seed(np.repeat(_seed(key[ds], j), many), ordinal[rest])
+        for i, d in enumerate(ds):
+            if head[d][2]:
+                at[lead[i]] = head[d][2]
+        seed += np.uint64(_MUL) * (at - lat.start.a[words[rest]] + 1).astype(np.uint64)
+        edges, took = lat.walk(at, seed)
+        stop = np.r_[0, np.cumsum(took)][lead + many]
+        whole = [np.concatenate([head[d][0], edges[a:b]]) for d, a, b in zip(ds, np.r_[0, stop[:-1]], stop)]
+        # nodes before the branch belong to sets that are open already
+        skip = np.array([len(head[d][0]) for d in ds])
+        for d, path, found in zip(ds, whole, _leaves(lat, whole, skip, np.array([bounds[d] for d in ds]), key[ds], j, k - j)):
+            paths[d].append(path)
+            open_[d] += [(v, j, n, (int(path[n]),)) for v, n in found]
         if j == k - 1:
             break
-        bounds = {d: 0.0 for d in ds}
-        for d in list(bounds):
+        for d in ds:
             if not open_[d]:
                 del bounds[d]
                 continue
             open_[d].sort()
             g, i, n, out = open_[d].pop()
             old = paths[d][i]
-            p = int(old[1][n])
-            prob = np.exp(lat.logp[p])
-            prob[list(out)] = 0.0
-            rest = prob.sum()
+            p = int(node[old[n]])
+            own = np.arange(first[p], first[p + 1])
+            prob = np.exp(logp[own])
+            prob[np.array(out) - own[0]] = 0.0
+            total = prob.sum()
             u = float(_uniform(key[d : d + 1], j + 1, n, 99)[0])
-            bl = int(min(np.searchsorted(np.cumsum(prob), u * rest, side="right"), len(prob) - 1))
+            bl = int(min(np.searchsorted(np.cumsum(prob), u * total, side="right"), len(prob) - 1))
             while prob[bl] == 0.0:
                 bl -= 1
-            left = rest - prob[bl]
+            edge = int(own[bl])
+            left = total - prob[bl]
             if left > 1e-15:  # what else may follow at this node stays open
-                mass_left = float(old[3][:n].sum() + np.log(left))
+                mass_left = float(logp[old[:n]].sum() + np.log(left))
                 e1 = -np.log(float(_uniform(key[d : d + 1], j + 1, n, 55)[0]))
-                open_[d].append((float(-np.log(np.exp(-g) + e1 * np.exp(-max(mass_left, -700)))), i, n, (*out, bl)))
-            bounds[d], branch[d] = g, (g, i, n, out, (bl, float(lat.logp[p, bl])))
-            w = int(old[0][n])
-            starts.append((d, w, p + int(lat.size[p, bl])))
-        occ, pos = [], []
-        for d, w, p in starts:
-            if p < lat.end[p - 1]:
-                occ.append(np.array([w]))
-                pos.append(np.array([p]))
-            occ.append(np.arange(w + 1, begin[d + 1]))
-            pos.append(lat.start[words_[w + 1 : begin[d + 1]]])
-        o = np.concatenate(occ) if occ else np.zeros(0, np.int64)
-        path = lat.walk(o, np.concatenate(pos) if pos else o, key[docs_[o]], j + 1, ordinal[o])
+                open_[d].append((-float(np.logaddexp(-g, np.log(e1) - mass_left)), i, n, (*out, edge)))
+            bounds[d] = g
+            chunk = int(np.count_nonzero(last[old[:n]]))
+            head[d] = (np.r_[old[:n], np.int32(edge)], chunk + 1, 0) if last[edge] else (np.r_[old[:n], np.int32(edge)], chunk, p + int(size[edge]))
     result = []
-    for d in range(n_docs):
+    for d in range(len(keys)):
         kappa = max((x[0] for x in open_[d]), default=-np.inf)
         rows = []
-        for o, at, l, lp in paths[d]:
-            logp = float(lp.sum())
-            x = logp - kappa
-            rows.append((lat.expand(at, l), logp, 0.0 if x > 700 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x))
+        for edges in paths[d]:
+            lp = float(logp[edges].sum())
+            x = lp - kappa
+            rows.append((lat.expand(edges), lp, 0.0 if x > 700 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x))
         result.append(rows or [([], 0.0, 0.0)])
     return result
 
@@ -346,10 +400,10 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
             for b in slices(whole, 500_000):
                 b = b.copy()
                 texts = [t if isinstance(t, str) else "" for t in b["text"]]
-                c.learn(set().union(*(_CHUNK.findall(t) for t in texts)))
-                own = [np.array(c.encode(t), np.int32) for t in texts]
+                words, begin = c.lattice.words(texts)
+                own = [c.lattice.encoded(words[x:y]) for x, y in zip(begin, begin[1:])]
                 keys = [xxhash.xxh64_intdigest(str(i)) for i in b["doc_id"].fillna(-1)]
-                drawn = sample(c, texts, keys, k)
+                drawn = _sample(c.lattice, words, begin, keys, k)
                 b["n_tokens"] = [len(x) for x in own]
                 b["ids" if ids else "ids_digest"] = own if ids else [digest(x) for x in own]
                 b["round_trip"] = [x == t for x, t in ((c.sp.decode(o.tolist()), t) for o, t in zip(own, texts))]

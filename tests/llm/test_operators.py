@@ -194,3 +194,41 @@ def test_empty_and_clashing_tables(spark, docs):
     assert sentencepieces.encoded(docs).count() == docs.count()
     for f in (linededup.query, licenses.query, secrets.query, simhash.query, sentencepieces.query, katz.query, lambda d: decontam.query(d, items)):
         assert f(none).count() == 0
+
+
+def test_samples_against_all_segmentations():
+    c = sentencepieces.codec(sentencepieces.MODEL)
+    lat, text, n = c.lattice, "then or", 4000
+    words, _ = lat.words([text])
+    every = collections.Counter()
+
+    def go(chunk, node, ids, logp):
+        for e in range(lat.first.a[node], lat.first.a[node + 1]):
+            now, lp = [*ids, *lat.expand(np.array([e])).tolist()], logp + lat.logp.a[e]
+            if not lat.last.a[e]:
+                go(chunk, node + int(lat.size.a[e]), now, lp)
+            elif chunk + 1 < len(words):
+                go(chunk + 1, lat.start.a[words[chunk + 1]], now, lp)
+            else:
+                every[tuple(now)] += math.exp(lp)
+
+    go(0, lat.start.a[words[0]], [], 0.0)
+    assert abs(sum(every.values()) - 1) < 1e-9
+    drawn = sentencepieces.sample(c, [text] * n, [xxhash.xxh64_intdigest(str(i)) for i in range(n)], 3)
+    ids = [[tuple(x.tolist()) for x, _, _ in d] for d in drawn]
+    assert all(len(set(i)) == 3 and set(i) <= set(every) for i in ids)
+    for s, p in every.most_common(8):
+        second = sum(q * p / (1 - q) for o, q in every.items() if o != s)
+        assert abs(sum(i[0] == s for i in ids) / n - p) < 0.03 and abs(sum(i[1] == s for i in ids) / n - second) < 0.03
+    assert abs(np.mean([sum(math.exp(lp - li) for _, lp, li in d) for d in drawn]) - 1) < 0.02
+
+
+def test_long_texts_and_a_lattice_begun_anew(monkeypatch):
+    c = sentencepieces.codec(sentencepieces.MODEL)
+    texts = ["y" * 3000, "the and of " * 900, "☃" * 700, "日 x"]
+    want = sentencepieces.sample(c, texts, [1, 2, 3, 4], 3)
+    monkeypatch.setattr(sentencepieces, "NODES", 0)
+    for t, k, w in zip(texts, (1, 2, 3, 4), want):
+        got = sentencepieces.sample(c, [t], [k], 3)[0]
+        assert [(list(i), a, b) for i, a, b in got] == [(list(i), a, b) for i, a, b in w]
+        assert len({tuple(i) for i, _, _ in got}) == 3
