@@ -228,8 +228,12 @@ class Lattice:
             beta[far[x:y]] = total = top + np.log(np.add.reduceat(np.exp(c - np.repeat(top, many)), begin))
             c_[a:b] = c - np.repeat(total, many)
         score[edge] = c_
-        run = np.cumsum(np.exp(score))
-        cum = run - np.repeat(np.r_[0.0, run[stop[:-1] - 1]], count)
+        cum, more, r = np.exp(score), np.flatnonzero(count > 1), 1
+        while len(more):  # node by node, so that no sum depends on what else is in the lattice
+            e = stop[more] - count[more] + r
+            cum[e] += cum[e - 1]
+            r += 1
+            more = more[count[more] > r]
         cum[stop - 1] = np.inf
         self.start.add(base + start)
         self.points.add(points.astype(np.uint32))
