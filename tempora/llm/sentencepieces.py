@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from tempora.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, NODES = 3, 2_000_000
+SAMPLES, NODES = 3, 4_000_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +(?=\n|$)")
 _MUL = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -141,16 +141,19 @@ class Lattice:
     """
 
     def __init__(self, codec: Codec):
-        self.codec = codec
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.done = _Index(), 0
+        self.codec, self.index, self.done = codec, _Index(), 0
         self.start, self.points, self.first = _Column(np.int64), _Column(np.uint32), _Column(np.int64, 0)
         self.own, self.own_first = _Column(np.int32), _Column(np.int64, 0)
         self.size, self.last, self.node = _Column(np.int8), _Column(bool), _Column(np.int32)
         self.ids, self.logp, self.cum = _Column(np.int32), _Column(float), _Column(float)
 
+    def clear(self) -> None:
+        """Forgets all chunks; the columns keep their memory, and those of offsets their first zero."""
+        self.index, self.done = _Index(), 0
+        for c in (self.start, self.points, self.own, self.size, self.last, self.node, self.ids, self.logp, self.cum):
+            c.n = 0
+        self.first.n = self.own_first.n = 1
+
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' chunks as numbers in the lattice, and where each text begins; a text's first chunk has the model's leading space."""
         if self.points.n > NODES:

@@ -231,4 +231,4 @@ def test_long_texts_and_a_lattice_begun_anew(monkeypatch):
     for t, k, w in zip(texts, (1, 2, 3, 4), want):
         got = sentencepieces.sample(c, [t], [k], 3)[0]
         assert [(list(i), a, b) for i, a, b in got] == [(list(i), a, b) for i, a, b in w]
-        assert len({tuple(i) for i, _, _ in got}) == len(got) == (1 if "☃" in t else 3)  # each ☃ has one piece only
+        assert len({tuple(i) for i, _, _ in got}) == len(got)  # texts with fewer segmentations have fewer samples
