@@ -174,9 +174,13 @@ def groups(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """documents with one row of each group left: its least doc_id's, and of that one's texts the one of the least hash."""
-    fps, table = _grouped(documents, radius)
+    return one_of_each(documents, *_grouped(documents, radius))
+
+
+def one_of_each(documents: DataFrame, rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text_hash) the documents that come first (column first) in a group (root) of table."""
     kept = table.select("root", "first.doc_id", "first.text_hash").distinct()
-    again = fps.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
+    again = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
     kept = staged(again.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n")))
     keyed = documents.withColumn("_k", F.xxhash64("text"))
     left = keyed.join(kept, keyed.doc_id.cast("long").eqNullSafe(kept._id) & (keyed._k == kept._h)).select(*documents.columns, "_n", "_id", "_h")
