@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of a text that are split into words at once; a longer text is handled piece by piece.
 BLOCK_BYTES = 1 << 20
@@ -19,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own if all of Spark is this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tempora-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -70,12 +77,59 @@ def word_blocks(text: str | None, size: int = BLOCK_BYTES) -> Iterator[list[byte
         at = end
 
 
-def slices(batch, chars: int = 2_000_000) -> Iterator:
-    """A batch in consecutive parts of about so many characters of text, for work that holds every word of a part."""
-    size = batch["text"].str.len().fillna(0).to_numpy().astype("int64").cumsum() // chars
-    cuts = [0, *((size[1:] != size[:-1]).nonzero()[0] + 1).tolist(), len(size)] if len(size) else [0]
+def fresh(base: str, *frames: DataFrame) -> str:
+    """A column name made from base that no frame has, whatever its spelling."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive parts of about so many bytes of text, for work that holds every word of a part."""
+    if not batch.num_rows:
+        return
+    at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
-        yield batch.iloc[a:b]
+        yield batch.slice(a, b - a)
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def appended(df: DataFrame, new: str, make: Callable[[], Callable], reads: tuple[str, ...] = ("text",), drop: tuple[str, ...] = (), size: int = 2_000_000) -> DataFrame:
+    """df with columns of the DDL `new`, worked out from lists of the columns `reads` (the first is the text), without the columns `drop`.
+
+    make() gives a task its function from those lists to the lists of the new columns. All other columns pass through as Arrow
+    arrays, so that neither nulls nor large integers change.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = _parse_datatype_string(new).fields
+    kept = [f for f in df.schema.fields if f.name not in drop and f.name not in {x.name for x in fields}]
+    names, types = [f.name for f in kept], [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for whole in batches:
+            for b in slices(whole, reads[0], size):
+                out = work(*(column(b, r).to_pylist() for r in reads))
+                yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), *(pa.array(x, t) for x, t in zip(out, types))], names=[*names, *(f.name for f in fields)])
+        del work
+        trim()
+
+    return df.mapInArrow(run, StructType([*kept, *fields]))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, mod: int = 5, held: int = 0) -> DataFrame:
@@ -129,8 +183,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def local_roots(n: int, a, b):
     """The least index that each of n nodes can reach over edges a[i] - b[i]; hooks and shortens until nothing changes."""
-    import numpy as np
-
     root = np.arange(n)
     while len(a):
         low = np.minimum(root[a], root[b])

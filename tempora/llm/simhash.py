@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import components, local_roots, staged, word_blocks
+from tempora.llm.common import appended, components, fresh, local_roots, staged, word_blocks
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints that the top of the tree is built from, those that a shard aims at, and those that a leaf compares directly.
+#: Fingerprints (about) that the top of the tree is built from, those that a shard aims at, and those that a leaf compares directly.
 SAMPLE, SHARD, LEAF = 65_536, 4_096, 384
 
 
@@ -46,11 +46,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp): fp holds the 64 bits as a long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+    def make():
+        return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return appended(rows, "fp long", make, drop=("text",))
 
 
 class Tree:
@@ -136,7 +136,9 @@ def linked(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[
 def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): a spanning forest of the links among the values of column fp."""
     n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    # a threshold of a hash leaves SAMPLE of them on average, wherever they lie
+    below = int(2**63 * min(1.0, SAMPLE / max(n, 1)))
+    sample = np.array(sorted(r[0] for r in distinct.select("fp").filter((F.xxhash64("fp").bitwiseAND(F.lit(2**63 - 1))) < F.lit(min(below, 2**63 - 1))).collect()), np.int64).view(np.uint64)
     shards = max(64, -(-n // SHARD))
     tree = Tree(sample, max(8, len(sample) // shards), radius)
 
@@ -179,16 +181,17 @@ def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(documents: DataFrame, rows: DataFrame, table: DataFrame) -> DataFrame:
     """Of rows (doc_id, text_hash) the documents that come first (column first) in a group (root) of table."""
+    key, many, i, h = (fresh(x, documents) for x in ("key", "many", "first_id", "first_hash"))
     kept = table.select("root", "first.doc_id", "first.text_hash").distinct()
-    again = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
-    kept = staged(again.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n")))
-    keyed = documents.withColumn("_k", F.xxhash64("text"))
-    left = keyed.join(kept, keyed.doc_id.cast("long").eqNullSafe(kept._id) & (keyed._k == kept._h)).select(*documents.columns, "_n", "_id", "_h")
-    if kept.filter("_n > 1").isEmpty():
+    again = rows.join(kept.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(h)))
+    kept = staged(again.groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).agg(F.count(F.lit(1)).alias(many)))
+    keyed = documents.withColumn(key, F.xxhash64("text"))
+    left = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept[i]) & (keyed[key] == kept[h])).select(*documents.columns, many, i, h)
+    if kept.filter(F.col(many) > 1).isEmpty():
         return left.select(*documents.columns)
     row = F.struct(*documents.columns)
-    first = left.filter("_n > 1").groupBy("_id", "_h").agg(F.min_by(row, F.to_json(row)).alias("_r")).select("_r.*")  # rows that repeat id and text
-    return left.filter("_n = 1").select(*documents.columns).unionByName(first)
+    first = left.filter(F.col(many) > 1).groupBy(i, h).agg(F.min_by(row, F.to_json(row)).alias(key)).select(f"{key}.*")  # rows that repeat id and text
+    return left.filter(F.col(many) == 1).select(*documents.columns).unionByName(first)
 
 
 def query(documents: DataFrame) -> DataFrame:
