@@ -19,21 +19,19 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from tempora.llm.common import slices
+from tempora.llm.common import appended, fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, NODES = 3, 4_000_000
+SAMPLES, NODES = 3, 2_000_000
 _CHUNK = re.compile(r" *[^ \n]+|\n| +(?=\n|$)")
 _MUL = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -309,6 +307,10 @@ def _leaves(lat: Lattice, edges: list[np.ndarray], skip: np.ndarray, bound: np.n
     return out
 
 
+def _logaddexp(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def sample(codec: Codec, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> list[list[tuple[list[int], float, float]]]:
     """For each text up to k distinct segmentations, best perturbed value first: (ids, log p, log inclusion)."""
     return _sample(codec.lattice, *codec.lattice.words(texts), keys, k)
@@ -347,31 +349,34 @@ def _sample(lat: Lattice, words: np.ndarray, begin: np.ndarray, keys: list[int],
             open_[d] += [(v, j, n, (int(path[n]),)) for v, n in found]
         if j == k - 1:
             break
+        ds = [d for d in ds if open_[d]]
+        bounds = {d: bounds[d] for d in ds}
+        if not ds:
+            break
         for d in ds:
-            if not open_[d]:
-                del bounds[d]
-                continue
             open_[d].sort()
-            g, i, n, out = open_[d].pop()
+        picked = [open_[d].pop() for d in ds]
+        branch = _seed(key[ds], j + 1, np.array([x[2] for x in picked]))
+        draws, kept_open = _unit(_seed(branch, 99)).tolist(), np.log(-np.log(_unit(_seed(branch, 55)))).tolist()
+        for d, (g, i, n, out), u, e1 in zip(ds, picked, draws, kept_open):
             old = paths[d][i]
             p = int(node[old[n]])
-            own = np.arange(first[p], first[p + 1])
-            prob = np.exp(logp[own])
-            prob[np.array(out) - own[0]] = 0.0
-            total = prob.sum()
-            u = float(_uniform(key[d : d + 1], j + 1, n, 99)[0])
-            bl = int(min(np.searchsorted(np.cumsum(prob), u * total, side="right"), len(prob) - 1))
+            own, to = int(first[p]), int(first[p + 1])
+            prob = np.exp(logp[own:to])
+            prob[np.array(out) - own] = 0.0
+            run = np.cumsum(prob)
+            total = float(run[-1])
+            bl = min(int(np.searchsorted(run, u * total, side="right")), to - own - 1)
             while prob[bl] == 0.0:
                 bl -= 1
-            edge = int(own[bl])
-            left = total - prob[bl]
+            edge = own + bl
+            left = total - float(prob[bl])
             if left > 1e-15:  # what else may follow at this node stays open
-                mass_left = float(logp[old[:n]].sum() + np.log(left))
-                e1 = -np.log(float(_uniform(key[d : d + 1], j + 1, n, 55)[0]))
-                open_[d].append((-float(np.logaddexp(-g, np.log(e1) - mass_left)), i, n, (*out, edge)))
+                mass_left = float(logp[old[:n]].sum()) + math.log(left)
+                open_[d].append((-_logaddexp(-g, e1 - mass_left), i, n, (*out, edge)))
             bounds[d] = g
             chunk = int(np.count_nonzero(last[old[:n]]))
-            head[d] = (np.r_[old[:n], np.int32(edge)], chunk + 1, 0) if last[edge] else (np.r_[old[:n], np.int32(edge)], chunk, p + int(size[edge]))
+            head[d] = (np.append(old[:n], np.int32(edge)), chunk + 1, 0) if last[edge] else (np.append(old[:n], np.int32(edge)), chunk, p + int(size[edge]))
     result = []
     for d in range(len(keys)):
         kappa = max((x[0] for x in open_[d]), default=-np.inf)
@@ -396,34 +401,25 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
 
     With ids=False the ids are replaced by their digests.
     """
-    what = "ids:array<int>" if ids else "digest:bigint"
-    schema = documents.drop("n_tokens", "ids", "ids_digest", "round_trip", "samples").schema
-    schema = schema.add("n_tokens", "long").add("ids" if ids else "ids_digest", ArrayType(IntegerType()) if ids else LongType()).add("round_trip", "boolean")
-    schema = schema.add("samples", _parsed(_SAMPLES.format(what)))
+    new = "n_tokens long, ids array<int>, " if ids else "n_tokens long, ids_digest long, "
+    new += "round_trip boolean, samples " + _SAMPLES.format("ids:array<int>" if ids else "digest:bigint")
+    what, made = ("ids", lambda x: x) if ids else ("digest", digest)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(model)
-        for whole in batches:
-            for b in slices(whole, 500_000):
-                b = b.copy()
-                texts = [t if isinstance(t, str) else "" for t in b["text"]]
-                words, begin = c.lattice.words(texts)
-                own = [c.lattice.encoded(words[x:y]) for x, y in zip(begin, begin[1:])]
-                keys = [xxhash.xxh64_intdigest(str(i)) for i in b["doc_id"].fillna(-1)]
-                drawn = _sample(c.lattice, words, begin, keys, k)
-                b["n_tokens"] = [len(x) for x in own]
-                b["ids" if ids else "ids_digest"] = own if ids else [digest(x) for x in own]
-                b["round_trip"] = [x == t for x, t in ((c.sp.decode(o.tolist()), t) for o, t in zip(own, texts))]
-                b["samples"] = [[{"rank": r + 1, "n_tokens": len(x), "log_prob": lp, "log_inclusion": li, **({"ids": x} if ids else {"digest": digest(x)})} for r, (x, lp, li) in enumerate(s)] for s in drawn]
-                yield b
-
-    return documents.drop("n_tokens", "ids", "ids_digest", "round_trip", "samples").mapInPandas(run, schema)
-
-
-def _parsed(ddl: str):
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(ddl)
+
+        def work(texts: list[str | None], keys: list[str | None]) -> list:
+            texts = [t or "" for t in texts]
+            words, begin = c.lattice.words(texts)
+            own = [c.lattice.encoded(words[x:y]) for x, y in zip(begin, begin[1:])]
+            drawn = _sample(c.lattice, words, begin, [xxhash.xxh64_intdigest(i or "") for i in keys], k)
+            samples = [[{"rank": r + 1, "n_tokens": len(x), "log_prob": lp, "log_inclusion": li, what: made(x)} for r, (x, lp, li) in enumerate(s)] for s in drawn]
+            return [[len(x) for x in own], [made(x) for x in own], [c.sp.decode(o.tolist()) == t for o, t in zip(own, texts)], samples]
+
+        return work
+
+    key = fresh("row_key", documents)
+    return appended(documents.drop("n_tokens", "ids", "ids_digest", "round_trip", "samples").withColumn(key, F.col("doc_id").cast("string")), new, make, ("text", key), (key,), 500_000)
 
 
 def query(documents: DataFrame, model: str = MODEL) -> DataFrame:
