@@ -7,7 +7,8 @@ letters lower-cased and white space runs as one space.
 
 Map-only over documents. The items are read in blocks of ``ITEM_CHARS`` characters, one pass a block, so the automaton's size is
 bounded whatever the number of items. An empty or null item matches nothing; a null text is an empty text. A piece that is very
-frequent proposes many places, each is checked, none is dropped.
+frequent proposes many places, each is checked, none is dropped. An item_id with several texts is found by any of them; rows that
+repeat are searched once each; other columns pass through, and one called like the result is replaced.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.common import appended, fresh, staged
+
 #: Edits allowed a character of an item; characters of items in one automaton; length of the grams of the lemma.
 ERROR_RATE, ITEM_CHARS, GRAM = 0.1, 4_000_000, 5
+#: Blocks of items that are worked through in one chain of workers.
+CHAINED = 2
 
 
 def normalised(text: str | None) -> str:
@@ -105,14 +109,12 @@ class Matcher:
         out = []
         for item, starts in places.items():
             item_id, own, k, peq, grams, need = self.items[item]
-            best, upto = k + 1, None
+            best = k + 1
             for s in sorted(starts):
                 a, b = max(0, s - k), min(len(t), s + len(own) + k)
                 if t.startswith(own, max(0, s)):
                     best = 0
                     break
-                if upto is not None and b <= upto:
-                    continue
                 w = t[a:b]
                 if need > 0 and sum(w[i : i + GRAM] in grams for i in range(len(w) - GRAM + 1)) < need:
                     continue
@@ -135,24 +137,26 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def matches(documents: DataFrame, items: DataFrame, column: str = "items", rate: float = ERROR_RATE) -> DataFrame:
-    """documents with an array of (item_id, edits): the benchmark items that a text holds."""
+    """documents with an array of (item_id, edits): the benchmark items that a text holds. Every ``CHAINED`` blocks of items the result is written
+    out, so that no more workers of a chain live at once."""
     kind = "array<struct<item_id:bigint,edits:int>>"
     out = documents.drop(column).withColumn(column, F.array().cast(kind))
-    for rows in _blocks(items):
+    for n, rows in enumerate(_blocks(items)):
+        if n and n % CHAINED == 0:
+            out = staged(out)
 
-        def run(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
+        def make(rows=rows):
             m = Matcher(rows, rate)
-            for b in batches:
-                b[column] = [[*({"item_id": r["item_id"], "edits": r["edits"]} for r in had), *({"item_id": i, "edits": e} for i, e in m.find(t))] for had, t in zip(b[column], b["text"])]
-                yield b
+            return lambda texts, had: [[[*h, *({"item_id": i, "edits": e} for i, e in m.find(t))] for t, h in zip(texts, had)]]
 
-        out = out.mapInPandas(run, out.schema)
+        out = appended(out, f"`{column}` {kind}", make, ("text", column))
     return out
 
 
 def clean(documents: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return matches(documents, items, "_items", rate).filter(F.size("_items") == 0).drop("_items")
+    found = fresh("items", documents)
+    return matches(documents, items, found, rate).filter(F.size(found) == 0).drop(found)
 
 
 def query(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,22 +6,22 @@ text statistics minimises the non-negative unbiased PU risk
 ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the logistic loss, so that its output is a probability.
 
 The fit takes at most ``FIT_POSITIVE`` positives and ``FIT_UNLABELLED`` unlabelled documents, chosen by a hash of doc_id
-outside the held-out fold. Scoring reads each whole text once, map-only. A null or empty text has zero statistics and is
-scored like any other.
+outside the held-out fold; ids labelled both ways are no positives. Scoring reads each whole text once, map-only. A null or empty
+text has zero statistics and is scored like any other; where nothing is labelled good, or there are no documents, every score is
+0.5. Rows that repeat are scored once each, equal texts equally; other columns pass through, and one called like the
+score is replaced.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import crc_mod, labelled_sample, word_blocks
+from tempora.llm.common import appended, crc_mod, labelled_sample, word_blocks
 
 #: Bounds of the fit.
 FIT_POSITIVE, FIT_UNLABELLED, BINS = 3000, 6000, 12
@@ -31,18 +31,22 @@ FEATURES = 15
 
 
 def features(text: str | None) -> list[float]:
+    """Statistics of a whole text; they don't depend on the blocks that its words are read in."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     without = lambda drop: len(raw) - len(raw.translate(None, drop))
     words: Counter[int] = Counter()
     pairs: set[int] = set()
     n = n_pairs = marked = 0
+    tail: list[int] = []
     for ws in word_blocks(text):
         hs = list(map(hash, ws))
         words.update(hs)
         n += len(ws)
+        hs = tail + hs
         pairs.update(map(hash, zip(hs, hs[1:], hs[2:])))
         n_pairs += max(0, len(hs) - 2)
         marked += sum(1 for w in ws if w[-1] in _MARKS)
+        tail = hs[-2:]
     upper, lower, lines = without(_UPPER), without(_LOWER), raw.count(b"\n") + 1
     parts = raw.split(b"\n")
     return [
@@ -115,7 +119,7 @@ def fit_features(p: np.ndarray, u: np.ndarray) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> Model:
-    positive = [r.text for r in labelled_sample(documents, labels.filter("quality = 1"), "quality", FIT_POSITIVE, mod, held).orderBy("doc_id").collect()]
+    positive = [r.text for r in labelled_sample(documents, labels, "quality", FIT_POSITIVE, mod, held).filter("label = 1").orderBy("doc_id").collect()]
     spark = documents.sparkSession
     ids = documents.filter(F.col("doc_id").isNotNull() & (crc_mod("doc_id", mod) != held)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_UNLABELLED)
     ids = spark.createDataFrame([(r[0],) for r in ids.collect()], "doc_id long")
@@ -129,12 +133,10 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) ->
 def score(documents: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
     """documents with the probability of good quality; map-only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b[column] = model.score(np.array([features(t) for t in b["text"]], float).reshape(-1, FEATURES))
-            yield b
+    def make():
+        return lambda texts: [model.score(np.array([features(t) for t in texts], float).reshape(-1, FEATURES))]
 
-    return documents.mapInPandas(run, documents.drop(column).schema.add(column, "double"))
+    return appended(documents, f"`{column}` double", make)
 
 
 def query(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -14,16 +14,15 @@ from __future__ import annotations
 
 import random
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import crc_mod, labelled_sample, word_blocks
+from tempora.llm.common import appended, crc_mod, labelled_sample, word_blocks
 
 #: Labelled documents of each class that the fit may use; the bound that keeps the fit on the driver.
 FIT_TOXIC, FIT_ORDINARY = 1500, 3000
@@ -149,13 +148,11 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) ->
 def score(documents: DataFrame, model: Model, column: str = "toxic_score") -> DataFrame:
     """documents with a probability of being toxic; map-only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         s = Scorer(model)
-        for b in batches:
-            b[column] = s.score(b["text"])
-            yield b
+        return lambda texts: [s.score(texts)]
 
-    return documents.mapInPandas(run, documents.drop(column).schema.add(column, "double"))
+    return appended(documents, f"`{column}` double", make)
 
 
 def query(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
