@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary windows and one on windows typical of toxic documents. A window (a
+Two zstandard dictionaries are trained, one on the windows of ordinary documents and one on those windows of toxic documents that hold grams which
+mark them; dictionaries trained on all windows were measured and left (see the README). A window (a
 word between its spaces) is compressed under both, set between two passages that both dictionaries hold: without them a frame
 that short would fall back to stored bytes and the lengths would say nothing. The bytes that the toxic dictionary saves are
 the window's distance; a document's distances are counted against a ladder of thresholds, and a logistic regression on
-labelled documents turns the counts into a calibrated probability.
+labelled documents that trained no dictionary turns the counts into a calibrated probability.
 
 The model is a few kilobytes, fitted on at most ``FIT_TOXIC`` and ``FIT_ORDINARY`` labelled documents; scoring reads each whole text
-once, map-only. A null or empty text has no window and gets the score of a document in which nothing toxic was found.
+once, map-only. A null or empty text has no window and gets the score of a document in which nothing toxic was found; without any label
+every score is the same, 0.12. Rows that repeat are scored once each, equal texts equally; other columns pass through, and one called like the
+score is replaced.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from tempora.llm.common import appended, crc_mod, labelled_sample, word_blocks
 #: Labelled documents of each class that the fit may use; the bound that keeps the fit on the driver.
 FIT_TOXIC, FIT_ORDINARY = 1500, 3000
 GRAM, DICT_BYTES, LEVEL, CACHE = 5, 16384, 6, 400_000
-#: A gram marks toxic text if this many toxic documents hold it and its share there is this many times the ordinary share.
-LEAST_DOCS, LIFT = 6, 30.0
+#: A gram marks toxic text if this share of the toxic documents (two at least) hold it, and that is this many times its share of the ordinary ones.
+LEAST_SHARE, LIFT = 0.004, 30.0
 THRESHOLDS = (1, 2, 3, 4, 5)
-#: Windows of each ordinary document (of each MB of a long one) that the ordinary dictionary may be trained on.
-USUAL = 60
+#: One labelled document in so many calibrates.
+CALIBRATED = 3
 
 
 @dataclass(frozen=True)
@@ -111,29 +114,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def fit_texts(toxic: list[str], ordinary: list[str], prior: float | None = None) -> Model:
-    """The model of two lists of texts. Both the dictionaries and the calibration come from them."""
+def _different(text: str | None) -> set[bytes]:
+    return {w for ws in word_blocks(text) for w in ws}
+
+
+def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
+    """The model of two lists of texts: every ``CALIBRATED``th text of each calibrates, all others train the dictionaries (of a single text, both)."""
+    (cal_t, fit_t), (cal_o, fit_o) = (((x[::CALIBRATED], [t for i, t in enumerate(x) if i % CALIBRATED]) if len(x) > 1 else (x, x)) for x in (toxic, ordinary))
+
     def held_by(texts: list[str]) -> Counter:
         out: Counter[bytes] = Counter()
         for t in texts:
-            out.update({g for ws in word_blocks(t) for w in set(ws) for g in _grams(w)})
+            out.update({g for w in _different(t) for g in _grams(w)})
         return out
 
-    a, b = held_by(toxic), held_by(ordinary)
-    least = LEAST_DOCS if len(toxic) >= 100 else 2
-    marks = {g for g, n in a.items() if n >= least and n / len(toxic) >= LIFT * (b[g] + 0.5) / (len(ordinary) + 1)}
+    a, b = held_by(fit_t), held_by(fit_o)
+    least = max(2, LEAST_SHARE * len(fit_t))
+    marks = {g for g, n in a.items() if n >= least and n / len(fit_t) >= LIFT * (b[g] + 0.5) / (len(fit_o) + 1)}
+    del a, b
     rng = random.Random(42)
-    bad = [b" %b " % w for t in toxic for ws in word_blocks(t) for w in ws if len(_grams(w) & marks) >= 2]
-    usual = [b" %b " % w for t in ordinary for ws in word_blocks(t) for w in rng.sample(ws, min(len(ws), USUAL))]
+    bad = [b" %b " % w for t in fit_t for ws in word_blocks(t) for w in ws if len(_grams(w) & marks) >= 2]
+    usual = [b" %b " % w for t in fit_o for w in sorted(_different(t))]
     rng.shuffle(bad)
     rng.shuffle(usual)
-    base = _train(usual[:100_000], 6144, 32)
-    model = Model(_train(bad[:50_000], DICT_BYTES, 24), base, base[-32:-8], base[-200:-176], ())
+    base = _train(usual, 6144, 32)
+    model = Model(_train(bad, DICT_BYTES, 24), base, base[-32:-8], base[-200:-176], ())
     s = Scorer(model)
-    x = np.array([s.features(t) for t in [*toxic, *ordinary]], float).reshape(len(toxic) + len(ordinary), 2 * len(THRESHOLDS) + 3)
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    if not len(x):
-        return Model(model.toxic, base, model.before, model.after, (-2.0, *[0.0] * (2 * len(THRESHOLDS) + 3)))
+    width = 2 * len(THRESHOLDS) + 3
+    if not toxic and not ordinary:
+        return Model(model.toxic, base, model.before, model.after, (-2.0, *[0.0] * width))
+    x = np.array([s.features(t) for t in [*cal_t, *cal_o]], float).reshape(-1, width)
+    y = np.r_[np.ones(len(cal_t)), np.zeros(len(cal_o))]
     return Model(model.toxic, base, model.before, model.after, tuple(map(float, _logistic(x, y))))
 
 
@@ -141,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) ->
     """Learns from labels.toxic of documents outside the held-out fold (crc32(doc_id) mod `mod` = `held`)."""
     rows = labelled_sample(documents, labels, "toxic", FIT_ORDINARY, mod, held)
     toxic = [r.text or "" for r in rows.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_TOXIC).select("text").collect()]
-    ordinary = [r.text or "" for r in rows.filter("label = 0").select("doc_id", "text").orderBy("doc_id").select("text").collect()]
+    ordinary = [r.text or "" for r in rows.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()]
     return fit_texts(toxic, ordinary)
 
 
