@@ -18,19 +18,23 @@ A null text counts as empty: it has one token, the end. Rows that repeat are sco
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import crc_mod, staged, word_blocks
+from tempora.llm.common import column, crc_mod, slices, staged, trim, word_blocks
 
-BLOCK_TOKENS, CUT, END = 2_000_000, 5, b" "
+BLOCK_TOKENS, CUT, END = 1_000_000, 5, b" "
+#: Histories at most whose sums are joined on the driver.
+HOT = 80_000
 
 
 class _Vocabulary(dict):
@@ -41,28 +45,27 @@ class _Vocabulary(dict):
 
 def _pack(x: np.ndarray) -> bytes:
     """Compressed, in planes of bytes."""
-    x = np.ascontiguousarray(x)
-    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return _packs(x)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    b = bytes(b)
-    d = np.dtype(b[:1].decode())
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8)
-    return np.ascontiguousarray(raw.reshape(d.itemsize, -1).T).view(d).reshape(-1)
+    return _unpacks(b)[0]
 
 
 def _packs(*xs: np.ndarray) -> bytes:
-    parts = [_pack(x) for x in xs]
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    """Arrays in one frame: their types and lengths, and the planes of their bytes compressed together."""
+    planes = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in xs)
+    return struct.pack(f"<B{len(xs)}c{len(xs)}I", len(xs), *(x.dtype.char.encode() for x in xs), *map(len, xs)) + zstandard.compress(planes, 1)
 
 
 def _unpacks(b: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(b, "<u4", 1)[0])
-    sizes, at, out = np.frombuffer(b, "<u4", n, 4), 4 + 4 * n, []
-    for s in sizes:
-        out.append(_unpack(b[at : at + int(s)]))
-        at += int(s)
+    n = b[0]
+    kinds = [np.dtype(chr(c)) for c in b[1 : 1 + n]]
+    sizes = struct.unpack_from(f"<{n}I", b, 1 + n)
+    raw, at, out = np.frombuffer(zstandard.decompress(b[1 + 5 * n :]), np.uint8), 0, []
+    for d, s in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + s * d.itemsize].reshape(d.itemsize, -1).T).view(d).reshape(-1) if s else np.zeros(0, d))
+        at += s * d.itemsize
     return out
 
 
@@ -73,53 +76,58 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 # ---- blocks of documents
 
-_BLOCK = "block string, ids array<long>, held array<boolean>, words binary, tokens binary, lengths binary"
+_BLOCK = "block string, rows binary, words binary, tokens binary, lengths binary"
 
 
 def blocks(documents: DataFrame, mod: int = 7, held: int = 2, size: int = BLOCK_TOKENS) -> DataFrame:
-    """Documents packed with a vocabulary of their own: token numbers, their lengths with the end, and the words by number."""
+    """Documents packed with a vocabulary of their own: ids, nulls and folds, token numbers, their lengths with the end, and the words by number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n = TaskContext.get().partitionId(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, total = TaskContext.get().partitionId(), 0, 0
         vocab, ids, out, tokens, lengths = _Vocabulary({END: 0}), [], [], [], []
-        total = 0
-
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"block": [f"{part}-{n}"], "ids": [ids], "held": [out], "words": [b"\n".join(vocab)], "tokens": [_pack(_small(np.concatenate(tokens)))], "lengths": [_pack(np.array(lengths, np.uint32))]})
 
-        for b in batches:
-            for i, h, t in zip(b["doc_id"], b["held_out"], b["text"]):
-                own = [np.array(list(map(vocab.__getitem__, ws)), np.uint32) for ws in word_blocks(t)]
-                own.append(np.zeros(1, np.uint32))
-                tokens += own
-                lengths.append(sum(map(len, own)))
-                ids.append(None if pd.isna(i) else int(i))
-                out.append(bool(h))
-                total += lengths[-1]
-                if total >= size:
-                    yield row()
-                    n, total = n + 1, 0
-                    vocab, ids, out, tokens, lengths = _Vocabulary({END: 0}), [], [], [], []
+        def row() -> pa.RecordBatch:
+            rows = _packs(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(out, np.uint8))
+            cells = (f"{part}-{n}", rows, zstandard.compress(b"\n".join(vocab), 1), _pack(_small(np.concatenate(tokens))), _pack(np.array(lengths, np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["block", "rows", "words", "tokens", "lengths"])
+
+        for whole in batches:
+            for b in slices(whole):
+                for i, h, t in zip(*(column(b, c).to_pylist() for c in ("doc_id", "held_out", "text"))):
+                    own = [np.fromiter(map(vocab.__getitem__, ws), np.uint32, len(ws)) for ws in word_blocks(t)]
+                    own.append(np.zeros(1, np.uint32))
+                    tokens += own
+                    lengths.append(sum(map(len, own)))
+                    ids.append(i)
+                    out.append(h)
+                    total += lengths[-1]
+                    if total >= size:
+                        yield row()
+                        n, total = n + 1, 0
+                        vocab, ids, out, tokens, lengths = _Vocabulary({END: 0}), [], [], [], []
         if ids:
             yield row()
+        vocab, tokens = None, None
+        trim()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", mod) == held).alias("held_out"), "text")
-    return docs.mapInPandas(run, _BLOCK)
+    return docs.mapInArrow(run, _BLOCK)
 
 
 class _Read:
     """A block's row, opened."""
 
     def __init__(self, r):
-        self.ids, self.held = list(r.ids), np.array(list(r.held), bool)
-        self.words = bytes(r.words).split(b"\n")
-        self.tokens = _unpack(r.tokens).astype(np.int64)
-        self.lengths = _unpack(r.lengths).astype(np.int64)
+        self.ids, self.null, held = _unpacks(bytes(r.rows))
+        self.held = held > 0
+        self.words = zstandard.decompress(r.words).split(b"\n")
+        self.tokens = _unpack(bytes(r.tokens)).astype(np.int64)
+        self.lengths = _unpack(bytes(r.lengths)).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.train = ~self.held[self.doc]
 
     def word_buckets(self, n: int) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w) % n for w in self.words), np.int64, len(self.words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)) % np.uint64(n)
 
 
 # ---- words
@@ -138,6 +146,8 @@ def _ask_words(n: int):
                     own = order[cuts[k] : cuts[k + 1]]
                     rows.append((int(k), r.block, zstandard.compress(b"\n".join([x.words[i] for i in own]), 1), _pack(_small(count[own]))))
                 yield pd.DataFrame(rows, columns=["bucket", "block", "words", "counts"])
+                del x, rows
+        trim()
 
     return run
 
@@ -340,7 +350,7 @@ def _evaluate(unigrams: Unigrams, d: np.ndarray, hot_sums: dict[int, np.ndarray]
                 p = np.where(r > 0, d[np.minimum(r, CUT)] ** (r <= CUT) * r * scale[b.h], alpha[b.h] * unigrams.p(b.count)[b.w])
             base = np.log10((b.count + 1) / (unigrams.total + unigrams.known + 1))
             sums = lambda v: np.bincount(x.doc, v, len(x.lengths))
-            out.append(pd.DataFrame({"doc_id": pd.array(x.ids, "Int64"), "held_out": x.held, "n_tokens": x.lengths, "n_known": sums((b.count > 0)[x.tokens]).astype(np.int64), "train_tokens": unigrams.total, "base_score": sums(base[x.tokens]), "score": sums(np.log10(p)[b.of])}))
+            out.append(pd.DataFrame({"doc_id": pd.arrays.IntegerArray(x.ids.astype(np.int64), x.null > 0), "held_out": x.held, "n_tokens": x.lengths, "n_known": sums((b.count > 0)[x.tokens]).astype(np.int64), "train_tokens": unigrams.total, "base_score": sums(base[x.tokens]), "score": sums(np.log10(p)[b.of])}))
         return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -352,10 +362,10 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def scores(documents: DataFrame, mod: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document, from a model of the documents whose crc32(doc_id) mod `mod` is not `held`."""
     own = staged(blocks(documents, mod, held, block_tokens))
-    n = int(np.clip(2 * own.count(), 64, 20_000))
+    n = max(64, 2 * own.count())  # buckets grow with the blocks, so that what one gathers doesn't
     words = staged(own.mapInPandas(_ask_words(n), "bucket int, block string, words binary, counts binary").groupBy("bucket").applyInPandas(_answer_words(n), _ANSWER))
     unigrams = Unigrams(_stats(words))
-    hot = unigrams.total / (4 * n)
+    hot = unigrams.total / min(4 * n, HOT)
     answers = words.filter("kind = 'word'")
     asked = own.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_ask_bigrams(n, n, hot), "bucket int, block string, blob binary")
     bigrams = staged(asked.groupBy("bucket").applyInPandas(_answer_bigrams(unigrams), _ANSWER))
