@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
-
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tempora.dialect.parser import ColumnDef, Command, CreateTable, Delete, Fore
 from tempora.functions.scalar import SPARK_TYPES, as_of_micros, coerce
 from tempora.operators import analytics, constraints
 from tempora.plans.lower import column, lower, predicate
-from tempora.sources.changelog import ChangeLog, Files
+from tempora.sources.changelog import ChangeLog, ConflictError, Files, Journal
 
 #: What each role may do.
 RIGHTS = {"SUPERADMIN": {"read", "write", "define", "admin"}, "ADMIN": {"read", "write", "define"}, "NORMAL": {"read", "write"}, "READONLY": {"read"}, "DENIED": set()}
@@ -93,16 +93,36 @@ class Session:
         """A table's rows now, with the open transaction's changes, or at a time in microseconds."""
         if name in self.external:
             return self.external[name]
+        self._journal().settle()
         log = self.log_of(name)
         if as_of is not None:
-            return log.as_of(as_of)
-        rows = log.live()
+            return self._past(name, as_of)
+        rows = log.live(self.txn.base.setdefault(name, log.version()) if self.txn else None)  # a transaction reads one version of a table
         if self.txn and name in self.txn.changes:
             from tempora.operators.temporal import forward
 
             rows = forward(rows, self.txn.changes[name])
         return rows
 
+    def _journal(self) -> Journal:
+        return Journal(self.files, f"{self.root}/{self.database}/intent.json")
+
+    def _past(self, name: str, us: int) -> DataFrame:
+        """A table's rows at a time, in its present columns: times before an ALTER are read from the log of then."""
+        past = [h for h in self.catalog()[name].get("history", []) if us < h["until"]]
+        if not past:
+            return self.log_of(name).as_of(us)
+        schema = T.StructType([T.StructField(c["name"], SPARK_TYPES[c["type"]]) for c in past[0]["columns"]])
+        rows = ChangeLog(self.spark, f"{self.root}/{self.database}/{past[0]['folder']}", schema).as_of(us)
+        for h in past:
+            rows = self._altered(rows, *h["change"])
+        return rows
+
+    def _altered(self, rows: DataFrame, kind: str, column: str, to: str | None, default) -> DataFrame:
+        if kind == "ALTER ADD":
+            return rows.withColumn(column, F.lit(coerce(default, to)).cast(SPARK_TYPES[to]))
+        return rows.drop(column) if kind == "ALTER DROP" else rows.withColumnRenamed(column, to)
+
     # ---- rights
 
     def role(self) -> str:
@@ -127,7 +147,7 @@ class Session:
             for hook in self.before:
                 if not hook(kind, s.table, text):
                     raise SessionError(f"{kind} on {s.table} was vetoed")
-            n = {"INSERT": self._insert, "UPDATE": self._update, "DELETE": self._delete}[kind](s)
+            n = self._atomic({"INSERT": self._insert, "UPDATE": self._update, "DELETE": self._delete}[kind], s)
             for seen in self.after:
                 seen(kind, s.table, n)
             return Result(f"{kind} {n}", count=n)
@@ -148,23 +168,43 @@ class Session:
 
     def run_script(self, text: str) -> list[Result]:
         """Statements of a script, without its comments."""
-        plain = re.sub(r"/\*.*?\*/|--[^\n]*|#[^\n]*", " ", text, flags=re.S)
+        plain = re.sub(r"('[^']*')|/\*.*?\*/|--[^\n]*|#[^\n]*", lambda m: m[1] or " ", text, flags=re.S)
         parts = re.findall(r"(?:'[^']*'|[^;'])+;", plain)
         return self.execute_batch([p.strip() for p in parts if p.strip(" ;\n\t")])
 
     # ---- writing
 
+    def _atomic(self, work: Callable[[Any], int], s: Any, tries: int = 4) -> int:
+        """Runs a statement in the open transaction, or in one of its own that begins anew if another writer was first."""
+        if self.txn:
+            return work(s)
+        for left in range(tries - 1, -1, -1):
+            self.txn = _Txn(0)
+            try:
+                n = work(s)
+                t, self.txn = self.txn, None
+                self._publish(t)
+                return n
+            except ConflictError:
+                if not left:
+                    raise
+            finally:
+                self.txn = None
+
+    def _publish(self, t: _Txn) -> None:
+        """Commits all of a transaction's tables at once."""
+        parts = [(log := self.log_of(table), *log.prepare(changes, t.number, self.user, t.base[table])) for table, changes in t.changes.items()]
+        self._journal().publish([(log, old, new) for log, n, old, new in parts if n])
+
     def _commit(self, table: str, changes: DataFrame) -> int:
         n = changes.count()
         if not n:
             return 0
         log = self.log_of(table)
-        if self.txn:
-            self.txn.base.setdefault(table, log.version())
-            kept = self.txn.changes.get(table)
-            self.txn.changes[table] = changes if kept is None else kept.unionByName(changes)
-            return n
-        return log.append(changes, 0, self.user)
+        self.txn.base.setdefault(table, log.version())
+        kept = self.txn.changes.get(table)
+        self.txn.changes[table] = changes if kept is None else kept.unionByName(changes)
+        return n
 
     def _insert(self, s: Insert) -> int:
         d = self.definition(s.table)
@@ -271,8 +311,7 @@ class Session:
         elif name in ("COMMIT", "ROLLBACK"):
             t, self.txn = self.txn, None
             if t and name == "COMMIT":
-                for table, changes in t.changes.items():
-                    self.log_of(table).append(changes, t.number, self.user, t.base[table])
+                self._publish(t)
         elif name == "CHECKPOINT":
             for table in self.catalog():
                 self.log_of(table).checkpoint()
@@ -284,8 +323,7 @@ class Session:
 
                 if not 0 < at <= time.time_ns() // 1000 + 60_000_000:
                     raise SessionError("RECOVER needs a time that has been")
-                for table in self.catalog():
-                    self.log_of(table).recover(at, 0, self.user)
+                self._recover(at)
         elif name == "LOGIN":
             u = self._users().get(a[0])
             if not u or u["hash"] != _hash(*a):
@@ -378,24 +416,47 @@ class Session:
             out = out.union(self.log_of(t).log().select("ts", F.lit(t), "user"))
         return out
 
+    def _recover(self, at: int) -> None:
+        """All tables back to a time, in one commit."""
+        t = _Txn(0)
+        for name, entry in self.catalog().items():
+            log = self.log_of(name)
+            t.base[name] = log.version()
+            if any(at < h["until"] for h in entry.get("history", [])):
+                one, then = F.lit(1).cast("long"), self._past(name, at)
+                live = log.live()
+                t.changes[name] = log.undo(live.exceptAll(then).withColumn("weight", one).unionByName(then.exceptAll(live).withColumn("weight", -one)))
+            else:
+                t.changes[name] = log.back(at)
+        self._publish(t)
+
     def _alter(self, name: str, a: tuple) -> None:
-        c, d = self.catalog(), self.definition(a[0])
-        live = self.table(a[0])
+        """Begins a new log with the altered rows; the old one stays, for times before."""
+        import time
+
+        if self.txn:
+            raise SessionError("a definition can't change inside a transaction")
+        self._journal().settle()
+        c, d, old = self.catalog(), self.definition(a[0]), self.log_of(a[0])
+        version, before = old.version(), list(c[a[0]]["columns"])
+        change = [name, a[1].name, a[1].type, a[1].default] if name == "ALTER ADD" else [name, a[1], a[2] if name == "ALTER RENAME" else None, None]
+        live = self._altered(old.live(version), *change)
         if name == "ALTER ADD":
             d.columns.append(a[1])
-            live = live.withColumn(a[1].name, F.lit(coerce(a[1].default, a[1].type)).cast(SPARK_TYPES[a[1].type]))
         elif name == "ALTER DROP":
             d.columns = [x for x in d.columns if x.name != a[1]]
-            live = live.drop(a[1])
         else:
             for x in d.columns:
                 x.name = a[2] if x.name == a[1] else x.name
-            live = live.withColumnRenamed(a[1], a[2])
-        c[a[0]]["columns"] = [asdict(x) for x in d.columns]
-        c[a[0]]["folder"] = f"{a[0]}-{len(self.files.list(f'{self.root}/{self.database}'))}"
+        folder = f"{a[0]}-{len(self.files.list(f'{self.root}/{self.database}'))}"
+        schema = T.StructType([T.StructField(x.name, SPARK_TYPES[x.type]) for x in d.columns])
+        log, at = ChangeLog(self.spark, f"{self.root}/{self.database}/{folder}", schema), max(time.time_ns() // 1000, old.manifest().get("ts", 0) + 1)
+        log.append(live.select(F.lit("I").alias("op"), F.lit(None).cast(log.row).alias("old"), F.struct(*live.columns).alias("new")), 0, self.user, ts=at)
+        if old.version() != version:
+            raise ConflictError(f"{a[0]} changed while it was altered")
+        c[a[0]]["history"] = [*c[a[0]].get("history", []), {"folder": c[a[0]]["folder"], "columns": before, "until": at, "change": change}]
+        c[a[0]] |= {"columns": [asdict(x) for x in d.columns], "folder": folder}
         self._save_catalog(c)
-        log = self.log_of(a[0])
-        log.append(live.select(F.lit("I").alias("op"), F.lit(None).cast(log.row).alias("old"), F.struct(*live.columns).alias("new")), 0, self.user)
 
 
 def _hash(user: str, password: str) -> str:

@@ -63,6 +63,42 @@ class Files:
         fs.delete(p, True)
 
 
+class Journal:
+    """The commits of one database. A commit that changes several tables is one file, the intent, which must not exist yet; the tables'
+    manifests follow from it, and whoever finds an intent finishes it first, so a commit is seen whole or not at all."""
+
+    def __init__(self, files: Files, path: str):
+        self.files, self.path = files, path
+
+    def settle(self) -> None:
+        """Finishes a commit that was left under way."""
+        if self.files.exists(self.path):
+            self._finish(json.loads(self.files.read(self.path)))
+
+    def publish(self, parts: list[tuple[ChangeLog, dict, dict]]) -> None:
+        """Commits (log, manifest it rests on, next manifest) of all tables, or raises ConflictError and commits none."""
+        intent = [[log.place(old["version"] + 1), json.dumps(new | {"version": old["version"] + 1})] for log, old, new in parts]
+        if not intent:
+            return
+        self.settle()
+        self.files.write(self.path, json.dumps(intent))
+        self._finish(intent)
+
+    def _finish(self, intent: list[list[str]]) -> None:
+        there = [self.files.exists(path) for path, _ in intent]
+        late = [path for (path, text), t in zip(intent, there) if t and self.files.read(path) != text]
+        if not late:
+            for (path, text), t in zip(intent, there):
+                if not t:
+                    try:
+                        self.files.write(path, text)
+                    except ConflictError:  # another one finishes the same intent
+                        pass
+        self.files.delete(self.path)
+        if late:
+            raise ConflictError(f"{late[0]} was committed first")
+
+
 class ChangeLog:
     """One table's log. A record: lsn, ts, txn, op (I, U, D), old and new row, user."""
 
@@ -80,11 +116,21 @@ class ChangeLog:
         v = self.version() if version is None else version
         return json.loads(self.files.read(f"{self.path}/manifest/v{v:012d}.json")) if v else {"version": 0, "segments": [], "base": None, "lsn": 0}
 
+    def place(self, version: int) -> str:
+        return f"{self.path}/manifest/v{version:012d}.json"
+
     def _publish(self, old: dict, new: dict) -> None:
-        self.files.write(f"{self.path}/manifest/v{old['version'] + 1:012d}.json", json.dumps(new | {"version": old["version"] + 1}))
+        self.files.write(self.place(old["version"] + 1), json.dumps(new | {"version": old["version"] + 1}))
 
     def append(self, changes: DataFrame, txn: int, user: str, base: int | None = None, ts: int | None = None) -> int:
         """Commits changes (op, old, new) in the order of their column n, if any; returns their number. base: the version they rest on."""
+        n, old, new = self.prepare(changes, txn, user, base, ts)
+        if n:
+            self._publish(old, new)
+        return n
+
+    def prepare(self, changes: DataFrame, txn: int, user: str, base: int | None = None, ts: int | None = None) -> tuple[int, dict, dict]:
+        """Writes changes as a segment that no manifest names yet: (their number, the manifest they rest on, the one to publish)."""
         old = self.manifest()
         if base is not None and old["version"] != base:
             raise ConflictError(f"{self.path}: version {old['version']} instead of {base}")
@@ -95,10 +141,7 @@ class ChangeLog:
         name = f"s{old['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.path}/segments/{name}")
         written = self.spark.read.schema(self.schema).parquet(f"{self.path}/segments/{name}").agg(F.count(F.lit(1)), F.max("lsn")).first()
-        if not written[0]:
-            return 0
-        self._publish(old, old | {"segments": [*old["segments"], {"name": name, "rows": written[0], "ts": at, "lsn": written[1]}], "lsn": written[1], "ts": at})
-        return written[0]
+        return written[0], old, old | {"segments": [*old["segments"], {"name": name, "rows": written[0], "ts": at, "lsn": written[1]}], "lsn": written[1], "ts": at}
 
     # ---- reading
 
@@ -111,16 +154,16 @@ class ChangeLog:
         """All committed records."""
         return self._segments(self.manifest()["segments"])
 
-    def live(self) -> DataFrame:
-        """The current rows: the last checkpoint's and the segments after it."""
-        m = self.manifest()
+    def live(self, version: int | None = None) -> DataFrame:
+        """The rows of the current or a given version: the last checkpoint's and the segments after it."""
+        m = self.manifest(version)
         if m["base"] is None:
-            return temporal.snapshot(self.log(), self.row)
+            return temporal.snapshot(self._segments(m["segments"]), self.row)
         after = self._segments([s for s in m["segments"] if s["lsn"] > m["base"]["lsn"]])
         return temporal.forward(self.spark.read.schema(self.row).parquet(f"{self.path}/base/{m['base']['name']}"), after)
 
     def as_of(self, us: int) -> DataFrame:
-        """The rows at a time in microseconds, inclusive: forward from nothing or a checkpoint, or back from the live rows, whichever reads less."""
+        """The rows at a time in microseconds, inclusive: forward from nothing, or back from the live rows, whichever reads less."""
         m = self.manifest()
         before = [s for s in m["segments"] if s["ts"] <= us]
         after = [s for s in m["segments"] if s["ts"] > us]
@@ -133,14 +176,20 @@ class ChangeLog:
     def diff(self, from_us: int, to_us: int) -> DataFrame:
         return temporal.diff(self._segments([s for s in self.manifest()["segments"] if from_us < s["ts"] <= to_us]), self.row)
 
-    def recover(self, us: int, txn: int, user: str) -> int:
-        """Appends what turns the live rows into those of a time; the log keeps everything."""
-        m = self.manifest()
-        gone = temporal.diff(self._segments([s for s in m["segments"] if s["ts"] > us]), self.row)
+    def back(self, us: int) -> DataFrame:
+        """The changes (op, old, new) that turn the live rows into those of a time."""
+        return self.undo(temporal.diff(self._segments([s for s in self.manifest()["segments"] if s["ts"] > us]), self.row))
+
+    def undo(self, gone: DataFrame) -> DataFrame:
+        """Changes that take back signed rows (column weight)."""
         w = F.col("weight")
         rows = gone.select(F.explode(F.sequence(F.lit(1), F.abs(w).cast("int"))), w.alias("w"), F.struct(*self.row.names).alias("r"))
         none = F.lit(None).cast(self.row)
-        return self.append(rows.select(F.when(F.col("w") > 0, "D").otherwise("I").alias("op"), F.when(F.col("w") > 0, F.col("r")).otherwise(none).alias("old"), F.when(F.col("w") < 0, F.col("r")).otherwise(none).alias("new")), txn, user, m["version"])
+        return rows.select(F.when(F.col("w") > 0, "D").otherwise("I").alias("op"), F.when(F.col("w") > 0, F.col("r")).otherwise(none).alias("old"), F.when(F.col("w") < 0, F.col("r")).otherwise(none).alias("new"))
+
+    def recover(self, us: int, txn: int, user: str) -> int:
+        """Appends what turns the live rows into those of a time; the log keeps everything."""
+        return self.append(self.back(us), txn, user, self.version())
 
     def checkpoint(self) -> None:
         """Writes the live rows as a base that later reads start from."""

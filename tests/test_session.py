@@ -5,6 +5,7 @@ import pytest
 from tempora import formats
 from tempora.functions.scalar import as_of_micros, coerce, decay_factor
 from tempora.session import Session, SessionError, threat_veto
+from tempora.sources.changelog import ConflictError, Journal
 
 
 @pytest.fixture()
@@ -66,3 +67,53 @@ def test_script_and_values(s, spark):
     assert all(x.success for x in r), r
     assert coerce("7", "INT") == 7 and coerce(True, "VARCHAR") == "true" and as_of_micros("1") == 1_000_000
     assert got(s.execute("SELECT a FROM v WHERE b = 2.00001 AND d >= '2026-01-13';")) == [(1,)]
+
+
+def test_times_before_an_alter_are_kept(s):
+    s.execute("CREATE TABLE box (id INT PRIMARY KEY, tag VARCHAR(9));")
+    s.execute("INSERT INTO box VALUES (1, 'a'), (2, 'b');")
+    at = time.time_ns() // 1000
+    time.sleep(0.01)
+    s.execute("ALTER TABLE box ADD size INT;")
+    s.execute("DELETE FROM box WHERE id = 2;")
+    assert got(s.execute("SELECT id, tag FROM box;")) == [(1, "a")]
+    assert sorted(r.id for r in s.execute(f"SELECT * FROM box AS OF {at};").data.collect()) == [1, 2]
+    s.execute(f"RECOVER TO {at};")
+    assert got(s.execute("SELECT id, tag FROM box;")) == [(1, "a"), (2, "b")]
+
+
+def test_a_commit_over_two_tables_is_whole_or_nothing(s, spark):
+    other = Session(spark, s.root)
+    for t in ("left_one", "right_one"):
+        s.execute(f"CREATE TABLE {t} (a INT);")
+    s.execute("BEGIN;")
+    s.execute("INSERT INTO left_one VALUES (1);")
+    s.execute("INSERT INTO right_one VALUES (1);")
+    other.execute("INSERT INTO right_one VALUES (9);")
+    assert got(s.execute("SELECT * FROM right_one;")) == [(1,)]  # one version all through
+    with pytest.raises(ConflictError):
+        s.execute("COMMIT;")
+    assert got(s.execute("SELECT * FROM left_one;")) == [] and got(s.execute("SELECT * FROM right_one;")) == [(9,)]
+
+
+def test_an_intent_left_by_a_dead_writer_is_finished(s, spark):
+    for t in ("left_one", "right_one"):
+        s.execute(f"CREATE TABLE {t} (a INT PRIMARY KEY);")
+    s.execute("BEGIN;")
+    s.execute("INSERT INTO left_one VALUES (1);")
+    s.execute("INSERT INTO right_one VALUES (2);")
+    journal, finish = s._journal(), Journal._finish
+    try:
+        Journal._finish = lambda self, intent: None
+        s.execute("COMMIT;")
+    finally:
+        Journal._finish = finish
+    assert journal.files.exists(journal.path)
+    assert got(Session(spark, s.root).execute("SELECT * FROM right_one;")) == [(2,)] and got(s.execute("SELECT * FROM left_one;")) == [(1,)]
+    with pytest.raises(SessionError):
+        s.execute("INSERT INTO left_one VALUES (1);")
+
+
+def test_comment_signs_inside_strings_stay(s):
+    r = s.run_script("CREATE TABLE note (t VARCHAR(20)); INSERT INTO note VALUES ('a--b#c'); -- the end")
+    assert all(x.success for x in r) and got(s.execute("SELECT t FROM note;")) == [("a--b#c",)]
