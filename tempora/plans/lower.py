@@ -60,9 +60,9 @@ def predicate(df: DataFrame, conditions: tuple[Condition, ...], of: Callable[[It
 
 def lower(s: Select, table: Callable[[str], DataFrame]) -> DataFrame:
     """filter, join, group, having, project, distinct, sort, offset, limit."""
-    df = table(s.table).alias(s.table)
+    df = table(s.table).alias(s.alias or s.table)
     for j in s.joins:
-        other = table(j.table).alias(j.table)
+        other = table(j.table).alias(j.alias or j.table)
         if j.kind == "cross":
             df = df.crossJoin(other)
             continue

@@ -58,19 +58,8 @@ _dialect("topk_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_
 
 _OC = "SELECT o_orderkey, o_totalprice, c_name FROM orders {} JOIN customer ON orders.o_custkey = customer.c_custkey"
 _dialect("join_inner", _OC.format("INNER") + ";", "SELECT o_orderkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
-
-
-def _partial_join(kind: str) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        tables = {"customer": table(spark, d, "customer").filter("c_nationkey < 20"), "orders": table(spark, d, "orders").filter("o_orderkey % 5 = 0")}
-        return lower(parse(f"SELECT c_custkey, o_orderkey FROM customer {kind} JOIN orders ON customer.c_custkey = orders.o_custkey;"), tables.__getitem__)
-
-    return run
-
-
 for _kind, _name in (("LEFT", "left"), ("RIGHT", "right"), ("FULL OUTER", "full")):
-    QUERIES[f"join_{_name}"] = _partial_join(_kind)
-    ORACLES[f"join_{_name}"] = f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_nationkey < 20) c {_kind} JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON c_custkey = o_custkey"
+    _dialect(f"join_{_name}", f"SELECT c_custkey, o_orderkey FROM customer {_kind} JOIN orders ON customer.c_custkey = orders.o_custkey;", f"SELECT c_custkey, o_orderkey FROM customer {_kind} JOIN orders ON c_custkey = o_custkey")
 _dialect("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region;", "SELECT n_name, r_name FROM nation CROSS JOIN region")
 _dialect("join_theta", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON supplier.s_nationkey < nation.n_nationkey;", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey < n_nationkey")
 _dialect("join_theta_ge", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON supplier.s_nationkey >= nation.n_nationkey AND supplier.s_nationkey != nation.n_regionkey;", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey >= n_nationkey AND s_nationkey <> n_regionkey")
@@ -78,11 +67,7 @@ _dialect("join_multi_cond", "SELECT c_custkey, s_suppkey FROM customer JOIN supp
 _dialect("join_three_way", "SELECT l_orderkey, l_linenumber, o_orderdate, c_name FROM lineitem JOIN orders ON lineitem.l_orderkey = orders.o_orderkey ENTEDAH customer 3ALA orders.o_custkey = customer.c_custkey WHERE l_quantity > 45;", "SELECT l_orderkey, l_linenumber, o_orderdate, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45")
 
 
-@_query("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
-def _join_self(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    a, b = n.alias("a"), n.alias("b")
-    return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a_name"), F.col("b.n_name").alias("b_name"))
+_dialect("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey;", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
 
 
 @_query("fk_violations", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
