@@ -13,6 +13,8 @@ from tempora.functions.scalar import mass_severity, micros, reward, severity, uc
 MINUTE, HISTORY, RETENTION = 60_000_000, 100, 600_000_000
 LEAST_BASELINE, BURST = 10, 50.0
 HOT_GAP, HOT_LEAST = 60, 5
+#: Seconds within which the times of a hotspot are first put together.
+STRETCH_S = 600
 
 #: What marks a hostile text, by kind and severity, in order of precedence.
 SQL_PATTERNS = {
@@ -89,12 +91,25 @@ def mass_operations(events: DataFrame, rows: Column) -> DataFrame:
 
 
 def hotspots(events: DataFrame, gap_s: int = HOT_GAP, least: int = HOT_LEAST, by: str | None = None) -> DataFrame:
-    """Clusters of times whose gaps are gap_s at most, with `least` members. The session window merges partial sessions, so no task sees all times in order."""
-    keys = [by] if by else []
-    s = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.session_window("ts", F.lit(f"{gap_s} seconds")), *keys)
-    us = F.unix_micros("ts")
-    out = s.agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.sum(us.cast("decimal(38,0)")).alias("total"))
-    out = out.filter(F.col("n") >= least).withColumn("center_us", F.floor(F.col("total") / F.col("n")).cast("long"))
+    """Clusters of times whose gaps are gap_s at most, with `least` members.
+
+    Times are clustered within stretches of ``STRETCH_S`` seconds (or gap_s, if that is longer). Only clusters within reach of a stretch's ends, two a
+    stretch at most, can go on in the next one; these alone are put in order and joined.
+    """
+    keys, width, gap = [by] if by else [], max(STRETCH_S, gap_s) * 1_000_000, gap_s * 1_000_000
+    e = events.select(*keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).filter("us IS NOT NULL").withColumn("stretch", F.floor(F.col("us") / width))
+    w = Window.partitionBy(*keys, "stretch").orderBy("us")
+    e = e.withColumn("new", (F.col("us") - F.lag("us").over(w) > gap).cast("int"))
+    e = e.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = (F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    part = e.groupBy(*keys, "stretch", "island").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.sum(F.col("us").cast("decimal(38,0)")).alias("total"))
+    part = part.withColumn("open", (F.col("start_us") - F.col("stretch") * width <= gap) | ((F.col("stretch") + 1) * width - F.col("end_us") <= gap))
+    order = Window.partitionBy(*keys).orderBy("start_us")
+    edge = part.filter("open").withColumn("new", (F.col("start_us") - F.lag("end_us").over(order) > gap).cast("int"))
+    edge = edge.withColumn("cluster", F.sum(F.coalesce("new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "cluster").agg(*sums)
+    columns = [*keys, "start_us", "end_us", "n", "total"]
+    out = part.filter("NOT open").select(*columns).unionByName(edge.select(*columns)).filter(F.col("n") >= least)
+    out = out.withColumn("center_us", F.floor(F.col("total") / F.col("n")).cast("long"))
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
     return out.select(*keys, "n", "start_us", "end_us", "center_us", F.when(seconds > 0, F.col("n") / seconds).otherwise(F.col("n").cast("double")).alias("density"))
 

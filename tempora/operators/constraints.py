@@ -18,13 +18,13 @@ def check_violations(df: DataFrame, check: Column) -> DataFrame:
 
 def missing_parents(child: DataFrame, parent: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Child rows whose whole key is set and has no parent."""
-    keys = parent.select(*(F.col(p).alias(f"_p{i}") for i, (_, p) in enumerate(pairs))).distinct()
+    keys = parent.select(*(F.col(p).alias(f"_p{i}") for i, (_, p) in enumerate(pairs)))
     on = [child[c] == keys[f"_p{i}"] for i, (c, _) in enumerate(pairs)]
     return child.dropna(subset=[c for c, _ in pairs]).join(keys, on, "left_anti")
 
 
 def with_parents(child: DataFrame, parent: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    keys = parent.select(*(F.col(p).alias(f"_p{i}") for i, (_, p) in enumerate(pairs))).distinct()
+    keys = parent.select(*(F.col(p).alias(f"_p{i}") for i, (_, p) in enumerate(pairs)))
     return child.join(keys, [child[c] == keys[f"_p{i}"] for i, (c, _) in enumerate(pairs)], "left_semi")
 
 
