@@ -14,6 +14,7 @@ of its own query. Scores beyond a long are cut to a long.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -87,18 +88,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best for each row of queries; both tables as quantised() makes them."""
     spark = vectors.sparkSession
     queries = queries.dropDuplicates(["vec_id", "width", "q"]).orderBy("vec_id")
-    out, rows = None, []
+    blocks, rows = [], []
     for r in queries.toLocalIterator():
         rows.append(r)
         if len(rows) == QUERY_BLOCK:
-            out, rows = _and(out, _search_block(spark, vectors, rows, k)), []
-    if rows or out is None:
-        out = _and(out, _search_block(spark, vectors, rows, k))
-    return out
-
-
-def _and(out: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if out is None else staged(out.union(more))
+            blocks.append(staged(_search_block(spark, vectors, rows, k)))  # written once each
+            rows = []
+    if rows or not blocks:
+        blocks.append(_search_block(spark, vectors, rows, k))
+    return reduce(DataFrame.union, blocks)
 
 
 def _search_block(spark, vectors: DataFrame, rows: list, k: int) -> DataFrame:
