@@ -118,16 +118,21 @@ def fit_features(p: np.ndarray, u: np.ndarray) -> Model:
     return Model(edges, w.reshape(len(edges), BINS + 1), b, prior)
 
 
+def statistics(rows: DataFrame) -> np.ndarray:
+    """The features of rows (doc_id, text), by doc_id; worked out where the texts are, so that only numbers come to the driver."""
+    found = appended(rows.select("doc_id", "text"), "f array<double>", lambda: lambda texts: [[[float(v) for v in features(t)] for t in texts]], drop=("text",))
+    return np.array([r.f for r in found.orderBy("doc_id").collect()], float).reshape(-1, FEATURES)
+
+
 def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> Model:
-    positive = [r.text for r in labelled_sample(documents, labels, "quality", FIT_POSITIVE, mod, held).filter("label = 1").orderBy("doc_id").collect()]
+    positive = statistics(labelled_sample(documents, labels, "quality", FIT_POSITIVE, mod, held).filter("label = 1"))
     spark = documents.sparkSession
     ids = documents.filter(F.col("doc_id").isNotNull() & (crc_mod("doc_id", mod) != held)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_UNLABELLED)
     ids = spark.createDataFrame([(r[0],) for r in ids.collect()], "doc_id long")
-    other = [r.text for r in documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
-    table = lambda texts: np.array([features(t) for t in texts], float).reshape(-1, FEATURES)
-    if not positive or not other:
+    other = statistics(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    if not len(positive) or not len(other):
         return Model(np.zeros((FEATURES, BINS)), np.zeros((FEATURES, BINS + 1)), 0.0, 0.5)
-    return fit_features(table(positive), table(other))
+    return fit_features(positive, other)
 
 
 def score(documents: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
