@@ -90,3 +90,50 @@ def test_long_texts_have_the_same_statistics_in_any_block(monkeypatch):
     had = simhash.fingerprint(text)
     monkeypatch.undo()
     assert simhash.fingerprint(text) == had
+
+
+def test_pu_gradient_against_numeric_differences():
+    """Far from its optimum the fit only lowers the risk, and the risk it ends at beats any small step."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    p, u = (rng.random((60, 5)) < 0.6).astype(np.float32), np.vstack([(rng.random((50, 5)) < 0.6), (rng.random((70, 5)) < 0.2)]).astype(np.float32)
+    prior, ridge = 0.4, 2e-4
+
+    def risk(w, b):
+        zp, zu = p @ w + b, u @ w + b
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()) + ridge / 2 * (w @ w)
+
+    w, b = quality._minimise(p, u, prior, 3000, 0.01)
+    best = risk(w, b)
+    assert best < risk(np.zeros(5), 0.0)
+    for k in range(5):
+        for step in (-0.1, 0.1):
+            moved = w.copy()
+            moved[k] += step
+            assert risk(moved, b) >= best - 1e-4
+    assert min(risk(w, b - 0.1), risk(w, b + 0.1)) >= best - 1e-4
+
+
+def test_benchmark_places_against_the_edit_table():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    letters = list("abcdef ")
+    for _ in range(60):
+        items = [(k, decontam.normalised("".join(rng.choice(letters, rng.integers(12, 60))))) for k in range(3)]
+        text = decontam.normalised("".join(rng.choice(letters, 40)) + " " + items[0][1])
+        for k in rng.integers(0, len(text), rng.integers(0, 5)):
+            text = text[:k] + rng.choice(letters) + text[k + 1 :]
+        text = decontam.normalised(text)
+        want = []
+        for i, item in items:
+            row = [0] * (len(text) + 1)
+            for n, a in enumerate(item, 1):
+                new = [n]
+                for j, c in enumerate(text, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != c)))
+                row = new
+            if item and min(row) <= decontam.budget(item):
+                want.append((i, min(row)))
+        assert decontam.Matcher(items).find(text) == want
