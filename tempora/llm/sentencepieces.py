@@ -135,11 +135,12 @@ class Lattice:
     """The lattices of many distinct chunks, kept from one slice of texts to the next.
 
     A node is a character's position; its edges, the longest first, are the pieces that may follow, with their log probabilities and
-    cumulated probabilities. A lattice that has outgrown NODES is begun anew, which changes no result.
+    cumulated probabilities. A lattice that has outgrown its number of nodes is begun anew, which changes no result.
     """
 
     def __init__(self, codec: Codec):
         self.codec, self.index, self.done = codec, _Index(), 0
+        self.nodes: int | None = None  # None: NODES
         self.start, self.points, self.first = _Column(np.int64), _Column(np.uint32), _Column(np.int64, 0)
         self.own, self.own_first = _Column(np.int32), _Column(np.int64, 0)
         self.size, self.last, self.node = _Column(np.int8), _Column(bool), _Column(np.int32)
@@ -154,7 +155,7 @@ class Lattice:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' chunks as numbers in the lattice, and where each text begins; a text's first chunk has the model's leading space."""
-        if self.points.n > NODES:
+        if self.points.n > (NODES if self.nodes is None else self.nodes):
             self.clear()
         found = [_CHUNK.findall(t or "") for t in texts]
         for f in found:
@@ -396,10 +397,10 @@ def digest(ids: list[int] | np.ndarray) -> int:
 _SAMPLES = "array<struct<rank:int,n_tokens:int,log_prob:double,log_inclusion:double,{}>>"
 
 
-def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: bool = True) -> DataFrame:
+def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: bool = True, nodes: int = NODES) -> DataFrame:
     """documents with n_tokens, the model's ids, whether decoding gives back the text, and k sampled segmentations.
 
-    With ids=False the ids are replaced by their digests.
+    With ids=False the ids are replaced by their digests. nodes: the lattice nodes that a task keeps, memory against time; no result depends on it.
     """
     new = "n_tokens long, ids array<int>, " if ids else "n_tokens long, ids_digest long, "
     new += "round_trip boolean, samples " + _SAMPLES.format("ids:array<int>" if ids else "digest:bigint")
@@ -407,6 +408,7 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
 
     def make():
         c = codec(model)
+        c.lattice.nodes = nodes
 
         def work(texts: list[str | None], keys: list[str | None]) -> list:
             texts = [t or "" for t in texts]
