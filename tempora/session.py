@@ -177,7 +177,12 @@ class Session:
     def _atomic(self, work: Callable[[Any], int], s: Any, tries: int = 4) -> int:
         """Runs a statement in the open transaction, or in one of its own that begins anew if another writer was first."""
         if self.txn:
-            return work(s)
+            kept = dict(self.txn.changes)
+            try:
+                return work(s)
+            except Exception:
+                self.txn.changes = kept  # a failed statement leaves no part of itself in the transaction
+                raise
         for left in range(tries - 1, -1, -1):
             self.txn = _Txn(0)
             try:
@@ -243,7 +248,8 @@ class Session:
             if not constraints.duplicates(kept.select(*key).unionByName(new.select(*key)), key).join(new.select(*key), key, "left_semi").isEmpty():
                 raise SessionError(f"duplicate {', '.join(key)}")
         for f in d.foreign:
-            if not constraints.missing_parents(new, self.table(f.table), list(zip(f.columns, f.references))).isEmpty():
+            parents = kept.unionByName(new) if f.table == d.name else self.table(f.table)
+            if not constraints.missing_parents(new, parents.alias("p"), list(zip(f.columns, f.references))).isEmpty():
                 raise SessionError(f"no such {f.table} ({', '.join(f.references)})")
 
     def _where(self, s: Update | Delete, df: DataFrame) -> DataFrame:
@@ -258,29 +264,58 @@ class Session:
         old = F.struct(*rows.columns)
         value = F.lit(coerce(s.value, c.type)).cast(SPARK_TYPES[c.type])
         both = hit.select(F.lit("U").alias("op"), old.alias("old"), F.struct(*(value.alias(n) if n == s.column else F.col(n) for n in rows.columns)).alias("new"))
+        return self._replace(d, both)
+
+    def _replace(self, d: CreateTable, both: DataFrame) -> int:
+        """Puts new rows in the place of old ones, then applies the ON UPDATE actions of foreign keys whose key is gone."""
         self._check(d, both.select("new.*"), None, both.select("old.*"))
-        return self._commit(s.table, both)
+        n = self._commit(d.name, both)
+        for child, f, pairs in self._referring(d.name) if n else ():
+            moved = both.select(*(F.col("old")[r].alias(r) for r in f.references), *(F.col("new")[r].alias(f"_n{i}") for i, r in enumerate(f.references)))
+            keys = [(r, r) for r in f.references]
+            moved = constraints.missing_parents(moved, self.table(d.name), keys).distinct()
+            rows = self.table(child)
+            if (hit := constraints.with_parents(rows, moved, pairs)).isEmpty():
+                continue
+            if f.on_update == "CASCADE":
+                on = [hit[c] == moved[r] for c, r in pairs]
+                to = {c: F.col(f"_n{i}") for i, c in enumerate(f.columns)}
+                hit = hit.join(moved, on).select(*(hit[n] for n in hit.columns), *(f"_n{i}" for i in range(len(pairs))))
+            else:
+                to = self._emptied(child, f, f.on_update)
+            self._replace(self.definition(child), self._changed(hit, rows.columns, to))
+        return n
 
     def _delete(self, s: Delete) -> int:
         gone = self._where(s, self.table(s.table))
         return self._remove(s.table, gone)
 
     def _remove(self, table: str, gone: DataFrame) -> int:
-        """Deletes rows, and what their foreign keys' actions take with them, children first."""
-        log = self.log_of(table)
-        for child in self.catalog():
-            for f in self.definition(child).foreign:
-                if f.table != table or (hit := constraints.cascade(self.table(child), gone, list(zip(f.columns, f.references)))).isEmpty():
-                    continue
-                if f.on_delete == "CASCADE":
-                    self._remove(child, hit)
-                elif f.on_delete in ("SET NULL", "SET DEFAULT"):
-                    by = {c.name: c for c in self.definition(child).columns}
-                    to = {n: F.lit(coerce(by[n].default, by[n].type) if f.on_delete == "SET DEFAULT" else None).cast(SPARK_TYPES[by[n].type]) for n in f.columns}
-                    self._commit(child, hit.select(F.lit("U").alias("op"), F.struct(*hit.columns).alias("old"), F.struct(*(to[n].alias(n) if n in to else F.col(n) for n in hit.columns)).alias("new")))
-                else:
-                    raise SessionError(f"{child} refers to rows of {table}")
-        return self._commit(table, gone.select(F.lit("D").alias("op"), F.struct(*gone.columns).alias("old"), F.lit(None).cast(log.row).alias("new")))
+        """Deletes rows, then what their foreign keys' actions take with them; rows already gone are not met again, so cycles end."""
+        n = self._commit(table, gone.select(F.lit("D").alias("op"), F.struct(*gone.columns).alias("old"), F.lit(None).cast(self.log_of(table).row).alias("new")))
+        for child, f, pairs in self._referring(table) if n else ():
+            rows = self.table(child)
+            if (hit := constraints.cascade(rows, gone, pairs)).isEmpty():
+                continue
+            if f.on_delete == "CASCADE":
+                self._remove(child, hit)
+            else:
+                self._replace(self.definition(child), self._changed(hit, rows.columns, self._emptied(child, f, f.on_delete)))
+        return n
+
+    def _referring(self, table: str) -> list[tuple[str, Any, list[tuple[str, str]]]]:
+        """(table, foreign key, column pairs) of every foreign key to a table."""
+        return [(child, f, list(zip(f.columns, f.references))) for child in self.catalog() for f in self.definition(child).foreign if f.table == table]
+
+    def _emptied(self, child: str, f: Any, action: str) -> dict[str, Any]:
+        """What SET NULL or SET DEFAULT puts into a foreign key's columns; other actions refuse."""
+        if action not in ("SET NULL", "SET DEFAULT"):
+            raise SessionError(f"{child} refers to rows of {f.table}")
+        by = {c.name: c for c in self.definition(child).columns}
+        return {n: F.lit(coerce(by[n].default, by[n].type) if action == "SET DEFAULT" else None).cast(SPARK_TYPES[by[n].type]) for n in f.columns}
+
+    def _changed(self, hit: DataFrame, columns: list[str], to: dict[str, Any]) -> DataFrame:
+        return hit.select(F.lit("U").alias("op"), F.struct(*columns).alias("old"), F.struct(*(to[n].alias(n) if n in to else F.col(n) for n in columns)).alias("new"))
 
     # ---- definitions and commands
 
@@ -292,7 +327,7 @@ class Session:
         if not names or len(set(names)) < len(names):
             raise SessionError("a table needs columns of different names")
         for f in s.foreign:
-            if f.table not in c or not set(f.references) <= {x["name"] for x in c[f.table]["columns"]}:
+            if not set(f.references) <= set(names if f.table == s.name else [x["name"] for x in c.get(f.table, {"columns": []})["columns"]]):
                 raise SessionError(f"no such {f.table} ({', '.join(f.references)})")
         folder = f"{s.name}-{len(self.files.list(f'{self.root}/{self.database}'))}"
         c[s.name] = {"columns": [asdict(x) for x in s.columns], "foreign": [asdict(x) for x in s.foreign], "checks": s.checks, "indexes": {}, "folder": folder}

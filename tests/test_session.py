@@ -45,6 +45,38 @@ def test_constraints_and_cascade(s):
     assert "FOREIGN KEY (uid)" in s.execute("SHOW CREATE TABLE o;").data.first()[1]
 
 
+def test_actions_of_updated_keys(s):
+    s.execute("CREATE TABLE p (id INT PRIMARY KEY, w INT);")
+    for name, action in (("c", "CASCADE"), ("e", "SET NULL"), ("r", "RESTRICT")):
+        s.execute(f"CREATE TABLE {name} (k INT, pid INT, FOREIGN KEY (pid) REFERENCES p (id) ON UPDATE {action});")
+    s.execute("INSERT INTO p VALUES (1, 10), (2, 20), (3, 30);")
+    s.execute("INSERT INTO c VALUES (7, 1), (8, 1), (8, 1), (9, 2);")
+    s.execute("INSERT INTO e VALUES (7, 1), (9, 2);")
+    s.execute("INSERT INTO r VALUES (7, 3);")
+    s.execute("UPDATE p SET id = 5 WHERE id = 1;")
+    assert got(s.execute("SELECT k, pid FROM c;")) == [(7, 5), (8, 5), (8, 5), (9, 2)]
+    assert {tuple(x) for x in s.execute("SELECT k, pid FROM e;").data.collect()} == {(7, None), (9, 2)}
+    s.execute("UPDATE p SET w = 1 WHERE id = 3;")
+    s.execute("BEGIN;")
+    s.execute("INSERT INTO c VALUES (6, 3);")
+    with pytest.raises(SessionError):
+        s.execute("UPDATE p SET id = 6 WHERE id = 3;")
+    s.execute("COMMIT;")
+    assert got(s.execute("SELECT id, w FROM p;")) == [(2, 20), (3, 1), (5, 10)]
+    assert (6, 3) in got(s.execute("SELECT k, pid FROM c;"))
+
+
+def test_deletion_over_a_cycle_ends(s):
+    s.execute("CREATE TABLE a (id INT PRIMARY KEY, up INT);")
+    s.execute("CREATE TABLE b (id INT PRIMARY KEY, up INT, FOREIGN KEY (id) REFERENCES a (id) ON DELETE CASCADE, FOREIGN KEY (up) REFERENCES b (id) ON DELETE CASCADE);")
+    s.execute("INSERT INTO a VALUES (1, 1), (2, 1), (3, 3);")
+    s.execute("INSERT INTO b VALUES (1, NULL), (2, NULL), (3, NULL);")
+    s.execute("UPDATE b SET up = 1 WHERE id = 1;")
+    s.execute("UPDATE b SET up = 1 WHERE id = 2;")
+    assert s.execute("DELETE FROM a WHERE id = 1;").count == 1
+    assert [tuple(x) for x in s.execute("SELECT id, up FROM b;").data.collect()] == [(3, None)]
+
+
 def test_transactions_users_and_hooks(s):
     s.execute("CREATE TABLE t (a INT);")
     s.execute("BEGIN;")
