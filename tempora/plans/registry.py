@@ -11,6 +11,7 @@ from tempora.dialect.parser import parse
 from tempora.functions import scalar
 from tempora.operators import analytics as an
 from tempora.operators import constraints as ct
+from tempora.operators import learning
 from tempora.operators import temporal as tt
 from tempora.plans.lower import lower
 from tempora.sources.tables import table
@@ -393,3 +394,30 @@ QUERIES["selectivity_model"] = lambda s, d: _events(s, d).groupBy("event_type",
 ORACLES["selectivity_model"] = "SELECT event_type, CAST(event_id % 4 AS INTEGER) AS n_conditions, round(sum(CAST(floor(value * 100) AS BIGINT)) / 50000.0 / count(*), 9) AS selectivity FROM events GROUP BY 1, 2"
 QUERIES["decay_factor"] = lambda s, d: _events(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).select("day", "n", F.round(scalar.decay_factor(F.col("n")), 9).alias("factor"))
 ORACLES["decay_factor"] = "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(CASE WHEN count(*) < 5 THEN 1.0 WHEN count(*) / 100.0 <= 1 THEN 1.0 - 0.2 * count(*) / 100.0 ELSE 0.8 - 0.2 * least((count(*) / 100.0 - 1.0) / 2.0, 1.0) END, 9) AS factor FROM events GROUP BY 1"
+
+
+def _scan_choices(s: SparkSession, d: str) -> DataFrame:
+    kinds = _events(s, d).select(F.col("event_type").alias("table_name")).distinct()
+    kept = F.when(F.col("table_name") == "view", 0.9).when(F.col("table_name") == "click", 0.01).otherwise(0.2)
+    return learning.choose_by_table(_feedback(s, d), kinds.withColumn("has_index", F.col("table_name") != "error").withColumn("selectivity", kept))
+
+
+QUERIES["scan_choice_by_table"] = _scan_choices
+ORACLES["scan_choice_by_table"] = _FEED + """, e AS (SELECT table_name, count(*) FILTER (arm = 0) AS p0, count(*) FILTER (arm = 1) AS p1, sum(rw) FILTER (arm = 0) AS r0, sum(rw) FILTER (arm = 1) AS r1 FROM f GROUP BY 1),
+g AS (SELECT sum(p0) AS a0, sum(p1) AS a1, sum(p0) + sum(p1) AS n, sum(r0) / 10000.0 / sum(p0) AS q0, sum(r1) / 10000.0 / sum(p1) AS q1 FROM e),
+u AS (SELECT table_name, q0, q1, p0 >= 10 AND p1 >= 10 AS own, CASE table_name WHEN 'view' THEN 0.9 WHEN 'click' THEN 0.01 ELSE 0.2 END AS kept,
+  CASE WHEN p0 >= 10 AND p1 >= 10 THEN r0 / 10000.0 / p0 + 1.414 * sqrt(ln(CAST(n AS DOUBLE)) / p0) ELSE q0 + 1.414 * sqrt(ln(CAST(n AS DOUBLE)) / a0) END AS s0,
+  CASE WHEN p0 >= 10 AND p1 >= 10 THEN r1 / 10000.0 / p1 + 1.414 * sqrt(ln(CAST(n AS DOUBLE)) / p1) ELSE q1 + 1.414 * sqrt(ln(CAST(n AS DOUBLE)) / a1) END AS s1 FROM e, g)
+SELECT table_name, own, CAST(CASE WHEN table_name = 'error' THEN 0 WHEN kept < 0.05 AND s1 <= s0 AND q1 > q0 * 0.8 THEN 1 WHEN kept > 0.5 AND s1 > s0 AND q0 > q1 * 0.8 THEN 0 WHEN s1 > s0 THEN 1 ELSE 0 END AS INTEGER) AS arm FROM u"""
+
+
+def _plans(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    return _events(s, d).select((k % 3).cast("int").alias("filter_arm"), (k % 5 > 1).cast("int").alias("limit_arm"), (k % 4).alias("n_conditions"), (k % 2 == 0).alias("had_limit"), (k % 7 == 0).alias("had_order"), F.col("value").alias("ms"))
+
+
+QUERIES["plan_arms"] = lambda s, d: _rounded(learning.plan_arms(_plans(s, d)))
+ORACLES["plan_arms"] = """WITH f AS (SELECT event_id AS k, CAST(floor(1.0 / (1.0 + value / 100.0) * 10000) AS BIGINT) AS rw FROM events),
+b AS (SELECT 'filter' AS kind, CAST(k % 3 AS INTEGER) AS arm, rw FROM f WHERE k % 4 > 1 UNION ALL SELECT 'limit', CASE WHEN k % 5 > 1 THEN 1 ELSE 0 END, rw FROM f WHERE k % 2 = 0 AND k % 7 <> 0),
+a AS (SELECT kind, arm, count(*) AS pulls, sum(rw) / 10000.0 / count(*) AS avg_reward FROM b GROUP BY 1, 2)
+SELECT kind, arm, pulls, round(avg_reward, 9) AS avg_reward, round(avg_reward + 1.414 * sqrt(ln(CAST(sum(pulls) OVER (PARTITION BY kind) AS DOUBLE)) / pulls), 9) AS ucb FROM a"""

@@ -5,18 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.dialect.lexer import DialectError
 from tempora.dialect.parser import ColumnDef, Command, CreateTable, Delete, ForeignKey, Insert, Parser, Select, Update, parse
 from tempora.functions.scalar import SPARK_TYPES, as_of_micros, coerce
-from tempora.operators import analytics, constraints
+from tempora.operators import analytics, constraints, learning
 from tempora.plans.lower import column, lower, predicate
 from tempora.sources.changelog import ChangeLog, ConflictError, Files, Journal
 
@@ -51,17 +52,22 @@ class Session:
         self.before: list[Callable[[str, str, str], bool]] = []
         self.after: list[Callable[[str, str, int], None]] = []
         self.external: dict[str, DataFrame] = {}
-        self.views: dict[str, dict] = {}
+        self.learned = learning.Bandit()
         if not self.files.exists(self._users_path()):
             self._save_users({"root": {"hash": _hash("root", password or "root"), "roles": {"*": "SUPERADMIN"}}})
         if database not in self.databases():
             self.files.write(f"{self.root}/{database}/catalog.json", json.dumps({}), True)
+        if self.files.exists(self._learned_path()):
+            self.learned = learning.Bandit.loads(self.files.read(self._learned_path()))
 
     # ---- catalog
 
     def _users_path(self) -> str:
         return f"{self.root}/_users.json"
 
+    def _learned_path(self) -> str:
+        return f"{self.root}/_learned.json"
+
     def _users(self) -> dict:
         return json.loads(self.files.read(self._users_path()))
 
@@ -139,14 +145,13 @@ class Session:
         s = parse(text)
         if isinstance(s, Select):
             self._may("read")
+            self._ask("SELECT", s.table, text)
             at = None if s.as_of is None else as_of_micros(s.as_of)
             return Result(data=lower(s, lambda t: self.table(t, at)))
         if isinstance(s, (Insert, Update, Delete)):
             self._may("write")
             kind = type(s).__name__.upper()
-            for hook in self.before:
-                if not hook(kind, s.table, text):
-                    raise SessionError(f"{kind} on {s.table} was vetoed")
+            self._ask(kind, s.table, text)
             n = self._atomic({"INSERT": self._insert, "UPDATE": self._update, "DELETE": self._delete}[kind], s)
             for seen in self.after:
                 seen(kind, s.table, n)
@@ -156,6 +161,23 @@ class Session:
             return self._create(s)
         return self._command(s)
 
+    def _ask(self, kind: str, table: str, text: str) -> None:
+        for hook in self.before:
+            if not hook(kind, table, text):
+                raise SessionError(f"{kind} on {table} was vetoed")
+
+    def fetch(self, text: str) -> list[Row]:
+        """A SELECT's rows on the driver. What it took is counted for the scan that was advised; Spark reads alike for either."""
+        s = parse(text)
+        if not isinstance(s, Select):
+            raise SessionError("only a SELECT has rows to fetch")
+        entry = self.catalog().get(s.table, {"indexes": {}, "columns": []})
+        f = learning.features(s, 0, len(entry["columns"]), frozenset(entry["indexes"].values()))
+        arm, start = self.learned.choose(s.table, bool(f["has_index"]), f["selectivity"]), time.monotonic()
+        rows = self.execute(text).data.collect()
+        self.learned.record(arm, s.table, 1000 * (time.monotonic() - start))
+        return rows
+
     def execute_batch(self, statements: list[str]) -> list[Result]:
         """All of them, each with its own outcome."""
         out = []
@@ -350,15 +372,11 @@ class Session:
         elif name == "CHECKPOINT":
             for table in self.catalog():
                 self.log_of(table).checkpoint()
+            self.files.write(self._learned_path(), self.learned.dumps(), True)
         elif name == "RECOVER":
             self._may("define")
             if a[0] is not None:
-                at = as_of_micros(a[0])
-                import time
-
-                if not 0 < at <= time.time_ns() // 1000 + 60_000_000:
-                    raise SessionError("RECOVER needs a time that has been")
-                self._recover(at)
+                self.recover(as_of_micros(a[0]))
         elif name == "LOGIN":
             u = self._users().get(a[0])
             if not u or u["hash"] != _hash(*a):
@@ -436,7 +454,7 @@ class Session:
         elif name == "SHOW ANOMALIES":
             return Result(data=analytics.anomalies(analytics.dense_rates(self.mutations(), "table", F.lit(1)), "table").filter("severity <> 'NONE'").limit(50))
         elif name == "SHOW EXECUTION STATS":
-            return Result(data=self._frame(["Strategy", "Pulls", "Avg Reward", "UCB"], []))
+            return Result(data=self._frame(["Strategy", "Pulls", "Avg Reward", "UCB Score"], [(n, p, f"{q:.4f}", f"{u:.4f}") for n, p, q, u in self.learned.stats()]))
         elif name == "STOP":
             self._may("admin")
             self.running = False
@@ -451,8 +469,10 @@ class Session:
             out = out.union(self.log_of(t).log().select("ts", F.lit(t), "user"))
         return out
 
-    def _recover(self, at: int) -> None:
-        """All tables back to a time, in one commit."""
+    def recover(self, at: int) -> None:
+        """All tables back to a time in microseconds, in one commit."""
+        if not 0 < at <= time.time_ns() // 1000 + 60_000_000:
+            raise SessionError("RECOVER needs a time that has been")
         t = _Txn(0)
         for name, entry in self.catalog().items():
             log = self.log_of(name)
@@ -465,10 +485,21 @@ class Session:
                 t.changes[name] = log.back(at)
         self._publish(t)
 
+    def retain(self, asked_us: list[int] = (), now_us: int | None = None) -> int:
+        """Prunes the logs of all tables to the time they are kept for: a week, or longer where old times (asked_us, those most asked for) need it.
+        Returns the earliest time that AS OF still reaches. Rows stay; what tables were before an ALTER stays too."""
+        self._may("admin")
+        if self.txn:
+            raise SessionError("a log can't be pruned inside a transaction")
+        now = time.time_ns() // 1000 if now_us is None else now_us
+        cutoff = now - int(analytics.retention_cutoff_s([(now - t) / 1e6 for t in asked_us]) * 1e6)
+        self._journal().settle()
+        for table in self.catalog():
+            self.log_of(table).prune(cutoff)
+        return cutoff
+
     def _alter(self, name: str, a: tuple) -> None:
         """Begins a new log with the altered rows; the old one stays, for times before."""
-        import time
-
         if self.txn:
             raise SessionError("a definition can't change inside a transaction")
         self._journal().settle()
@@ -510,7 +541,13 @@ def _ddl(d: CreateTable) -> str:
     return f"CREATE TABLE {d.name} (\n  " + ",\n  ".join([*map(one, d.columns), *keys, *(f"CHECK ({t})" for t in d.checks)]) + "\n);"
 
 
+def threat_level(text: str) -> str:
+    """The gravest hostile pattern in a text."""
+    low = text.lower()
+    levels = ("HIGH", "MEDIUM", "LOW")
+    return next((v for v in levels if any(p in low for kinds in (analytics.SQL_PATTERNS, analytics.SCRIPT_PATTERNS) for p in kinds[v])), "NONE")
+
+
 def threat_veto(kind: str, table: str, text: str) -> bool:
     """A before-hook: refuses statements that hold a hostile pattern of medium gravity or more."""
-    low = text.lower()
-    return not any(p in low for kinds in (analytics.SQL_PATTERNS, analytics.SCRIPT_PATTERNS) for level in ("HIGH", "MEDIUM") for p in kinds[level])
+    return threat_level(text) not in ("HIGH", "MEDIUM")

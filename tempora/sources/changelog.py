@@ -22,6 +22,10 @@ class ConflictError(RuntimeError):
     """Another transaction committed first."""
 
 
+class PrunedError(RuntimeError):
+    """A time before what the log was pruned to."""
+
+
 class Files:
     """The few file operations a log needs, on whatever file system the path names."""
 
@@ -167,17 +171,20 @@ class ChangeLog:
         m = self.manifest()
         before = [s for s in m["segments"] if s["ts"] <= us]
         after = [s for s in m["segments"] if s["ts"] > us]
+        self._reaches(m, us)
         if not after:
             return self.live()
-        if sum(s["rows"] for s in before) < sum(s["rows"] for s in after):
+        if "kept_from" not in m and sum(s["rows"] for s in before) < sum(s["rows"] for s in after):
             return temporal.snapshot(self._segments(before), self.row)
         return temporal.reverse(self.live(), self._segments(after))
 
     def diff(self, from_us: int, to_us: int) -> DataFrame:
+        self._reaches(self.manifest(), from_us)
         return temporal.diff(self._segments([s for s in self.manifest()["segments"] if from_us < s["ts"] <= to_us]), self.row)
 
     def back(self, us: int) -> DataFrame:
         """The changes (op, old, new) that turn the live rows into those of a time."""
+        self._reaches(self.manifest(), us)
         return self.undo(temporal.diff(self._segments([s for s in self.manifest()["segments"] if s["ts"] > us]), self.row))
 
     def undo(self, gone: DataFrame) -> DataFrame:
@@ -191,6 +198,23 @@ class ChangeLog:
         """Appends what turns the live rows into those of a time; the log keeps everything."""
         return self.append(self.back(us), txn, user, self.version())
 
+    def _reaches(self, manifest: dict, us: int) -> None:
+        if us < manifest.get("kept_from", us):
+            raise PrunedError(f"{self.path}: the log begins at {manifest['kept_from']}")
+
+    def prune(self, us: int) -> int:
+        """Drops the segments of a time and before; returns their number. The live rows become the base first, and times from us on are read back from
+        them. A transaction that began on an older version can't read on."""
+        gone = [s["name"] for s in self.manifest()["segments"] if s["ts"] <= us]
+        if not gone:
+            return 0
+        self.checkpoint()
+        m = self.manifest()
+        self._publish(m, m | {"segments": [s for s in m["segments"] if s["ts"] > us or s["lsn"] > m["base"]["lsn"]], "kept_from": us})
+        for name in gone:
+            self.files.delete(f"{self.path}/segments/{name}")
+        return len(gone)
+
     def checkpoint(self) -> None:
         """Writes the live rows as a base that later reads start from."""
         m = self.manifest()
