@@ -182,15 +182,21 @@ def _until(log: DataFrame, t: str) -> DataFrame:
     return log.filter(F.col("ts") <= F.lit(t).cast("timestamp_ntz"))
 
 
+def _first_half(log: DataFrame) -> DataFrame:
+    """Records up to the middle of the log's range of numbers, which one row tells all tasks."""
+    middle = log.agg(F.floor((F.min("lsn") + F.max("lsn")) / 2).alias("_middle"))
+    return log.crossJoin(F.broadcast(middle)).filter("lsn <= _middle").drop("_middle")
+
+
 QUERIES["asof_forward"] = QUERIES["asof_snapshot"] = lambda s, d: tt.snapshot(_until(_log(s, d), T1))
 QUERIES["asof_reverse"] = lambda s, d: tt.reverse(tt.snapshot(_log(s, d)), _log(s, d).filter(F.col("ts") > F.lit(T1).cast("timestamp_ntz")))
 QUERIES["asof_latest_by_key"] = lambda s, d: tt.latest_by_key(_until(_log(s, d), T1), "o_orderkey")
-QUERIES["asof_lsn"] = lambda s, d: tt.snapshot(_log(s, d).filter("lsn <= 20001"))
+QUERIES["asof_lsn"] = lambda s, d: tt.snapshot(_first_half(_log(s, d)))
 QUERIES["asof_strategy"] = lambda s, d: tt.strategy(_log(s, d), 883612800000000)
 QUERIES["committed_only_replay"] = lambda s, d: tt.snapshot(tt.committed(_until(_log(s, d), T1), s.range(100).filter("id % 10 <> 3").withColumnRenamed("id", "txn")))
 for _name in ("asof_snapshot", "asof_forward", "asof_reverse", "asof_latest_by_key"):
     ORACLES[_name] = _SNAP.format(_AT1)
-ORACLES["asof_lsn"] = _SNAP.format("lsn <= 20001")
+ORACLES["asof_lsn"] = _SNAP.format("lsn <= (SELECT (min(lsn) + max(lsn)) // 2 FROM log)")
 ORACLES["committed_only_replay"] = _SNAP.format(_AT1 + " AND (txn % 10) <> 3")
 ORACLES["asof_strategy"] = _LOG + f"SELECT count(*) FILTER ({_AT1}) AS n_before, count(*) FILTER (NOT {_AT1}) AS n_after, CASE WHEN count(*) FILTER ({_AT1}) < count(*) FILTER (NOT {_AT1}) THEN 'forward' ELSE 'reverse' END AS strategy FROM log"
 
@@ -315,7 +321,7 @@ ORACLES["access_last_n"] = "SELECT event_id, ts FROM events ORDER BY ts DESC, ev
 
 def _trigger(s: SparkSession, d: str) -> DataFrame:
     now = 1_705_276_800_000_000  # 2024-01-15
-    spots = an.hotspots(_week(s, d), 300)
+    spots = an.hotspots(_events(s, d).filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), 300)
     changes = an.cusum(_daily(s, d), "event_type", "bucket", "rows", threshold=2.0).withColumn("position", F.col("position") * 21_600_000_000)
     return an.snapshot_due(spots, changes, now, now - 60_000_000)
 
@@ -323,7 +329,7 @@ def _trigger(s: SparkSession, d: str) -> DataFrame:
 QUERIES["snapshot_trigger"] = _trigger
 ORACLES["snapshot_trigger"] = (
     ORACLES["cusum_change_points"].strip().rsplit("SELECT event_type, bucket AS position", 1)[0]
-    + f""", g AS (SELECT epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM events WHERE {_WEEK}),
+    + f""", g AS (SELECT epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS gap FROM events WHERE ts < TIMESTAMP '2024-01-15'),
 i AS (SELECT us, sum(CASE WHEN gap IS NULL OR gap > 300000000 THEN 1 ELSE 0 END) OVER (ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM g),
 c AS (SELECT count(*) AS n, (max(us) - min(us)) / 1e6 AS sec FROM i GROUP BY island HAVING count(*) >= 5)
 SELECT fresh_changes, dense_spots, fresh_changes > 0 OR dense_spots > 0 AS due FROM (SELECT count(*) FILTER (hit AND 1705276800000000 - bucket * 21600000000 < 300000000) AS fresh_changes FROM f), (SELECT count(*) FILTER (CASE WHEN sec > 0 THEN n / sec ELSE n END > 1 AND n >= 10) AS dense_spots FROM c)"""
