@@ -23,6 +23,8 @@ from tempora.sources.changelog import ChangeLog, ConflictError, Files, Journal
 
 #: What each role may do.
 RIGHTS = {"SUPERADMIN": {"read", "write", "define", "admin"}, "ADMIN": {"read", "write", "define"}, "NORMAL": {"read", "write"}, "READONLY": {"read"}, "DENIED": set()}
+#: The right that commands ask for, beside those that ask on their own.
+ASKED = {"BEGIN": "write", "COMMIT": "write", "ROLLBACK": "write", "CHECKPOINT": "define", "SHOW USER": "admin"}
 RESERVED = ("system",)
 
 
@@ -361,6 +363,8 @@ class Session:
 
     def _command(self, s: Command) -> Result:
         name, a = s.name, s.args
+        if right := ASKED.get(name) or ("read" if name.startswith(("SHOW", "DESCRIBE")) else None):
+            self._may(right)
         if name == "BEGIN":
             if self.txn:
                 raise SessionError("a transaction is open")
@@ -395,7 +399,7 @@ class Session:
                 del users[a[0]]
             self._save_users(users)
         elif name in ("CREATE DATABASE", "DROP DATABASE"):
-            self._may("admin")
+            self._may("define")
             if a[0] in RESERVED or (a[0] in self.databases()) == (name == "CREATE DATABASE") or (name == "DROP DATABASE" and a[0] == self.database):
                 raise SessionError(f"{name} {a[0]} is not possible")
             if name == "CREATE DATABASE":

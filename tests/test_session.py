@@ -149,3 +149,25 @@ def test_an_intent_left_by_a_dead_writer_is_finished(s, spark):
 def test_comment_signs_inside_strings_stay(s):
     r = s.run_script("CREATE TABLE note (t VARCHAR(20)); INSERT INTO note VALUES ('a--b#c'); -- the end")
     assert all(x.success for x in r) and got(s.execute("SELECT t FROM note;")) == [("a--b#c",)]
+
+
+def test_commands_ask_for_rights(s):
+    s.execute("CREATE TABLE t (a INT);")
+    may = {
+        "SUPERADMIN": {"SHOW USER;", "CHECKPOINT;", "DESCRIBE t;", "SHOW TABLES;", "BEGIN;", "WHOAMI;"},
+        "ADMIN": {"CHECKPOINT;", "DESCRIBE t;", "SHOW TABLES;", "BEGIN;", "WHOAMI;"},
+        "NORMAL": {"DESCRIBE t;", "SHOW TABLES;", "BEGIN;", "WHOAMI;"},
+        "READONLY": {"DESCRIBE t;", "SHOW TABLES;", "WHOAMI;"},
+        "DENIED": {"WHOAMI;"},
+    }
+    for role in may:
+        s.execute(f"CREATE USER '{role}' PASS 'pw' ROLE {role};")
+    for role, allowed in may.items():
+        s.execute(f"LOGIN '{role}' 'pw';")
+        for text in may["SUPERADMIN"]:
+            if text in allowed:
+                s.execute(text)
+                s.txn = None
+            else:
+                with pytest.raises(SessionError):
+                    s.execute(text)
