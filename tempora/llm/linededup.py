@@ -3,9 +3,10 @@
 Lines are normalised (letters lower-cased, digits as 0, words joined by one space); equal ones collapse to one row that knows its first occurrence.
 A line's fingerprint is ``BINS`` numbers: the grams of ``GRAM`` bytes are dealt to as many bins by a hash, and each bin keeps the least of another hash, which a small
 edit barely moves. Lines are candidates if their fingerprints agree in one of ``BANDS`` blocks of ``ROWS`` numbers. A block that more than ``SMALL`` lines share is
-split by further numbers of the fingerprint, and each part stays tied to the least line of the whole, so a hot block costs rows in
-proportion to its lines (see stars). All candidates are verified by edit similarity, and the verified links' connected groups keep the occurrence that
-comes first by (doc_id, line number).
+split by further numbers of the fingerprint, and each part stays tied to the least line of the whole, so a hot block whose lines are alike costs rows in
+proportion to its lines (see stars). Lines of a hot block that are still in different groups then are all compared, after a bound by the pairs of characters
+they share, which leaves no similar pair out (near). All candidates are verified by edit similarity, and the verified links' connected groups keep the
+occurrence that comes first by (doc_id, line number).
 
 Fingerprints of majority bits (SimHash) were measured and left: see the README.
 
@@ -32,6 +33,8 @@ from tempora.llm.decontam import masks
 
 MIN_CHARS, SIMILARITY = 5, 0.8
 GRAM, BINS, BANDS, ROWS, SMALL = 8, 64, 16, 4, 32
+#: Places that the pairs of characters of a line fall on.
+PLACES = 1024
 #: Bytes of lines whose fingerprints are made at once.
 PART = 400_000
 #: Of simhashes() and key_masks(), which the operator itself no longer uses.
@@ -304,6 +307,58 @@ def memberships(documents: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(meet, stars.MET)
 
 
+def _bigrams(texts: list[str]) -> np.ndarray:
+    """For each text a row of zeros and ones: which of PLACES the hashes of its pairs of characters fall on, the n-th of like pairs by itself.
+
+    An edit takes away or adds four pairs at most, so the rows of two texts differ in at most four places an edit.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    pair, own = c[:-1] << np.uint64(21) | c[1:], row[:-1]
+    inner = own == row[1:]
+    pair, own = pair[inner], own[inner]
+    order = np.lexsort((pair, own))
+    pair, own = pair[order], own[order]
+    new = np.r_[True, (pair[1:] != pair[:-1]) | (own[1:] != own[:-1])][: len(pair)]
+    nth = np.arange(len(pair)) - np.maximum.accumulate(np.where(new, np.arange(len(pair)), 0))
+    h = (pair + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros((len(texts), PLACES), np.float32)
+    out[own, (h >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)] = 1
+    return out
+
+
+def near(texts: list[str], x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a text of x and one of y (as numbers of texts) that may be similar by their lengths and pairs of characters; no similar pair is left out."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    ones = _bigrams(texts)
+    many = ones.sum(1)
+    most = ((1 - least) * np.maximum(size[x][:, None], size[y][None, :]) + 1e-9).astype(np.int64)
+    apart = many[x][:, None] + many[y][None, :] - 2 * (ones[x] @ ones[y].T)
+    may = (np.abs(size[x][:, None] - size[y][None, :]) <= most) & (apart <= 4 * most)
+    i, j = np.nonzero(np.triu(may, 1) if x is y else may)
+    return x[i], y[j]
+
+
+def joined(node: np.ndarray, root: np.ndarray, texts: list[str], groups: list[list[int]], x: np.ndarray, y: np.ndarray, grp: int, least: float = SIMILARITY) -> tuple[list[int], list[int]]:
+    """Links (a, b) that join all groups (root) which similar pairs of x and y join; pairs that meet in a lesser group than grp too are left to that one."""
+    up: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (s := up.get(r, r)) != r:
+            up[r] = up.get(s, s)
+            r = s
+        return r
+
+    sets, a, b = [frozenset(g) for g in groups], [], []
+    for i, j in zip(*(c.tolist() for c in near(texts, x, y, least))):
+        if (r := find(int(root[i]))) != (s := find(int(root[j]))) and min(sets[i] & sets[j]) == grp and similarity(texts[i], texts[j], least):
+            up[max(r, s)] = min(r, s)
+            a.append(int(node[i]))
+            b.append(int(node[j]))
+    return a, b
+
+
 def roots(documents: DataFrame, distinct: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node, root): the connected groups of similar lines among numbered distinct lines (column line)."""
     met = staged(memberships(documents))
@@ -319,7 +374,21 @@ def roots(documents: DataFrame, distinct: DataFrame, least: float = SIMILARITY)
         pairs = pairs.join(size.toDF("a", "s"), "a").join(size.toDF("b", "t"), "b").filter(F.least("s", "t") >= F.lit(least) * F.greatest("s", "t") - 1e-9)
         return pairs.select("a", "b").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b").join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
-    return stars.roots(met, verify)
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        grp, i, j = (k.as_py() for k in key)
+        node, root, b = (table.column(c).to_numpy() for c in ("node", "root", "b"))
+        x = np.flatnonzero(b == i)
+        y = x if i == j else np.flatnonzero(b == j)
+        found = joined(node, root, table.column("norm").to_pylist(), table.column("groups").to_pylist(), x, y, grp, least)
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    def rest(rows: DataFrame) -> DataFrame:
+        rows = staged(rows)
+        groups = rows.groupBy("node").agg(F.collect_set("grp").alias("groups"))
+        own = groups.join(texts.select(F.col("line").alias("node"), "norm"), "node")
+        return rows.join(own, "node").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+
+    return stars.roots(met, verify, rest)
 
 
 def classes(documents: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

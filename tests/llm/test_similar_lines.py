@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tempora.llm import linededup
+from tempora.llm import linededup, stars
 
 
 def _words(rng, n):
@@ -43,6 +43,44 @@ def test_lines_with_changed_words_go(spark):
     assert set(root) <= left and len(left - set(root)) <= 2
 
 
+def test_every_pair_of_a_large_key_is_compared(spark):
+    n = 700  # more rows than a block has
+    for few in (16, n // 2):
+        met = spark.createDataFrame(stars.met(3, np.zeros(n, np.uint64), np.arange(n), [np.arange(n) % 5], few).to_pandas(), stars.MET)
+        got = {r.node: r.root for r in stars.roots(met, lambda pairs: pairs.filter("a % 7 = 3 AND b = a + 1 OR a % 7 = 0 AND b % 7 = 0")).collect()}
+        want = {k: 0 for k in range(0, n, 7)} | {k + d: k for k in range(3, n, 7) for d in (0, 1)}
+        assert got == want
+
+
+def test_no_similar_pair_is_lost_before_its_edits_are_counted():
+    rng = np.random.default_rng(9)
+    rows = [x for p in _edited(rng) for x in p] + ["aaaaa", "aaaab", "日本語の行です", "日本語の行でも", "ab" * 300, "ab" * 280, "ba" * 300]
+    every = np.arange(len(rows))
+    got = set(zip(*(c.tolist() for c in linededup.near(rows, every, every, 0.8))))
+    pairs = {(i, j) for j in range(len(rows)) for i in range(j) if linededup.similarity(rows[i], rows[j])}
+    assert len(pairs) > 70 and pairs <= got and len(got) < 5 * len(pairs)
+    odd, even = every[1::2], every[::2]
+    assert {(i, j) for i, j in pairs if i % 2 == 0 and j % 2} <= set(zip(*(c.tolist() for c in linededup.near(rows, even, odd, 0.8))))
+
+
+def test_similar_lines_of_a_large_key_go(spark):
+    rng = np.random.default_rng(10)
+    shared = " ".join(_words(rng, 25))  # more than half of a line, yet too little for the lines to be similar
+    base = [shared + " " + " ".join(_words(rng, 18)) for _ in range(350)]
+    rows = [r for x in base for r in (x, x[:-12] + "".join(rng.choice(list("xyz"), 12)))]
+    at, key = linededup.band_rows([x.encode() for x in rows])
+    keys, root = [set(key[at == i].tolist()) for i in range(len(rows))], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and keys[i] & keys[j] and linededup.similarity(rows[i], rows[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    left = {r.doc_id for r in linededup.deduplicated(docs).collect() if r.text}
+    assert max(np.unique(key, return_counts=True)[1]) > linededup.SMALL and 300 < len(set(root)) < 400
+    assert left == set(root)
+
+
 def test_equal_lines_of_every_length_go(spark):
     own = ["alpha one", "beta two", "gamma three", "delta four"]
     texts = [f"{own[i]}\nyes\n\n日本語の行はここに空白なしで続きます\nx  y\nok\n\nX y" for i in range(4)]
