@@ -9,8 +9,9 @@ from tempora.llm import decontam, linededup, minhash, sentencepieces, toxicity
 from tempora.llm.common import drop_staged, fresh, staged, table
 
 TOXIC_AT = 0.5
-#: Lattice nodes that the last stage's tasks keep: half of the operator's own, beside what the stages before have left in an executor.
-NODES = 1_000_000
+#: Lattice nodes that the last stage's tasks keep, and bytes of texts that they sample at once: less than the operator's own, beside what the stages
+#: before have left in an executor. No result depends on them.
+NODES, AT_ONCE = 250_000, 250_000
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts, checks that decoding gives them back, and samples other segmentations."""
-    return sentencepieces.encoded(docs, nodes=NODES).drop("text")
+    return sentencepieces.encoded(docs, nodes=NODES, size=AT_ONCE).drop("text")
 
 
 STAGES = [("toxicity", toxic), ("line_dedup", fuzzy_lines), ("near_dedup", near_duplicates), ("decontamination", benchmark_passages), ("sentencepiece", pieces)]

@@ -397,10 +397,11 @@ def digest(ids: list[int] | np.ndarray) -> int:
 _SAMPLES = "array<struct<rank:int,n_tokens:int,log_prob:double,log_inclusion:double,{}>>"
 
 
-def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: bool = True, nodes: int = NODES) -> DataFrame:
+def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: bool = True, nodes: int = NODES, size: int = 500_000) -> DataFrame:
     """documents with n_tokens, the model's ids, whether decoding gives back the text, and k sampled segmentations.
 
-    With ids=False the ids are replaced by their digests. nodes: the lattice nodes that a task keeps, memory against time; no result depends on it.
+    With ids=False the ids are replaced by their digests. nodes: the lattice nodes that a task keeps, and size: the bytes of texts that it samples at once, memory against time;
+    no result depends on them. A task's lattice ends with it, since workers live on through other stages.
     """
     new = "n_tokens long, ids array<int>, " if ids else "n_tokens long, ids_digest long, "
     new += "round_trip boolean, samples " + _SAMPLES.format("ids:array<int>" if ids else "digest:bigint")
@@ -408,20 +409,21 @@ def encoded(documents: DataFrame, model: str = MODEL, k: int = SAMPLES, ids: boo
 
     def make():
         c = codec(model)
-        c.lattice.nodes = nodes
+        lattice = Lattice(c)
+        lattice.nodes = nodes
 
         def work(texts: list[str | None], keys: list[str | None]) -> list:
             texts = [t or "" for t in texts]
-            words, begin = c.lattice.words(texts)
-            own = [c.lattice.encoded(words[x:y]) for x, y in zip(begin, begin[1:])]
-            drawn = _sample(c.lattice, words, begin, [xxhash.xxh64_intdigest(i or "") for i in keys], k)
+            words, begin = lattice.words(texts)
+            own = [lattice.encoded(words[x:y]) for x, y in zip(begin, begin[1:])]
+            drawn = _sample(lattice, words, begin, [xxhash.xxh64_intdigest(i or "") for i in keys], k)
             samples = [[{"rank": r + 1, "n_tokens": len(x), "log_prob": lp, "log_inclusion": li, what: made(x)} for r, (x, lp, li) in enumerate(s)] for s in drawn]
             return [[len(x) for x in own], [made(x) for x in own], [c.sp.decode(o.tolist()) == t for o, t in zip(own, texts)], samples]
 
         return work
 
     key = fresh("row_key", documents)
-    return appended(documents.drop("n_tokens", "ids", "ids_digest", "round_trip", "samples").withColumn(key, F.col("doc_id").cast("string")), new, make, ("text", key), (key,), 500_000)
+    return appended(documents.drop("n_tokens", "ids", "ids_digest", "round_trip", "samples").withColumn(key, F.col("doc_id").cast("string")), new, make, ("text", key), (key,), size)
 
 
 def query(documents: DataFrame, model: str = MODEL) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -232,3 +233,14 @@ def test_long_texts_and_a_lattice_begun_anew(monkeypatch):
         got = sentencepieces.sample(c, [t], [k], 3)[0]
         assert [(list(i), a, b) for i, a, b in got] == [(list(i), a, b) for i, a, b in w]
         assert len({tuple(i) for i, _, _ in got}) == len(got)  # texts with fewer segmentations have fewer samples
+
+
+def test_a_worker_keeps_no_lattice_after_its_task(spark):
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sentencepieces.codec(sentencepieces.MODEL).lattice.points.n] * b.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.createDataFrame([(i, f"words of text {i} and more") for i in range(40)], "doc_id long, text string").repartition(4)
+    many, few = (sorted((r.doc_id, r.ids, r.samples) for r in sentencepieces.encoded(docs, **own).collect()) for own in ({}, {"nodes": 20, "size": 60}))
+    assert many == few and len(many) == 40
+    assert {r.n for r in docs.mapInArrow(kept, "n long").collect()} == {0}
