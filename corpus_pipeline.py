@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import decontam, linededup, minhash, sentencepieces, toxicity
+from tempora.llm import decontam, linededup, neardocs, sentencepieces, toxicity
 from tempora.llm.common import drop_staged, fresh, staged, table
 
 TOXIC_AT = 0.5
@@ -27,8 +27,8 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; a link is a Jaccard similarity of 0.8 or more between sets of five-word shingles."""
-    return minhash.representatives(docs)
+    """One document of each group stays; SimHash and vantage-point trees find the links, a Jaccard similarity of 0.8 or more between sets of five-word shingles."""
+    return neardocs.representatives(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("line_dedup", fuzzy_lines), ("near_dedup", near_duplicates), ("decontamination", benchmark_passages), ("sentencepiece", pieces)]
 
-#: Compression distances, MinHash components and lattice samples can't be written in SQL; tests hold the stages against brute force.
+#: Compression distances, SimHash components and lattice samples can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,147 +1,5 @@
-"""Near-duplicate documents by MinHash bands, verified by the Jaccard similarity of their 5-word shingles.
+"""The near-duplicate stage under its former name; it is in neardocs, and holds no MinHash any more."""
 
-A text's shingles give ``BANDS`` keys of ``ROWS`` minima each; texts that share a key are candidates, and a pair of similarity s
-shares none with probability (1 - s ** ROWS) ** BANDS: 0.0004 at 0.8. A key of a few texts gives all their pairs; a larger one ties each text to its
-least and is split by further minima (see stars). Every link is verified exactly; the links' connected groups keep one document.
+from tempora.llm.neardocs import representatives, shingles, similar
 
-A SimHash radius can't do this at scale: a similarity of 0.8 is about 10 of 64 bits with a deviation of 3, and within 16 bits and more
-a vantage point's ball holds most of the unrelated fingerprints (32 bits off, deviation 4) too, so that every shard gets every point.
-
-Copies collapse by a hash of the text before any linking. Texts without a word, and null ones, are alike.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tempora.llm import stars
-from tempora.llm.common import appended, shuffle_parts, staged, trim, word_blocks
-from tempora.llm.simhash import one_of_each
-
-SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
-BANDS, ROWS, SMALL = 20, 5, 64
-
-
-def multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-def minima(hashes: np.ndarray, by: np.ndarray, block: int = 1024) -> np.ndarray:
-    """For each multiplier the least product with one of the 32-bit hashes."""
-    low = np.full(len(by), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), block):
-        np.minimum(low, (by[:, None] * hashes[None, at : at + block]).min(1), out=low)
-    return low
-
-
-def band_keys(low: np.ndarray, rows: int) -> np.ndarray:
-    """Each run of `rows` minima of every line of `low` mixed to a long."""
-    own = low.reshape(len(low), -1, rows).astype(np.uint64)
-    key = np.zeros(own.shape[:2], np.uint64)
-    for j in range(rows):
-        key = (key ^ own[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """The different 64-bit hashes of a text's shingles; of a shorter text the hash of all its words."""
-    found, tail, n = [], [], 0
-    digest = xxhash.xxh64_intdigest
-    for words in word_blocks(text):
-        words = tail + words
-        if len(words) >= width:
-            found.append(np.unique(np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)))), np.uint64)))
-            n += 1
-        tail = words[-(width - 1) :]
-    if n:
-        return np.unique(np.concatenate(found))
-    return np.array([digest(b" ".join(tail), SEED)] if tail else [], np.uint64)
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= least * (len(a) + len(b) - common) - 1e-9
-
-
-def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, keys, more) of every row: n is the number of different shingles, more has four bytes of other minima for each key."""
-
-    def make():
-        by = multipliers(BANDS * ROWS)
-
-        def work(texts):
-            own = [shingles(t) for t in texts]
-            low = np.array([minima(s.astype(np.uint32), by) for s in own], np.uint32).reshape(-1, len(by))
-            first = low[:, ::ROWS] & np.uint32(0xFF)
-            more = sum(np.roll(first, k, 1) << np.uint32(8 * n) for n, k in enumerate((1, 7, 12, 16)))
-            return [len(s) for s in own], band_keys(low, ROWS).tolist(), more.view(np.int32).tolist()
-
-        return work
-
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return appended(keyed, "n int, keys array<long>, more array<int>", make, drop=("text",))
-
-
-def memberships(distinct: DataFrame) -> DataFrame:
-    """The texts of distinct (text_hash, keys, more) that share keys, as stars.MET has them."""
-    parts = max(shuffle_parts(distinct.sparkSession), 64) * 4
-
-    def meet(table: pa.Table) -> pa.Table:
-        at, key, k, more = (table.column(c).to_numpy() for c in ("node", "key", "k", "more"))
-        order = np.lexsort((at, key, k))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (k[order][1:] != k[order][:-1])]
-        number = np.empty(len(key), np.uint64)
-        number[order] = np.cumsum(new).astype(np.uint64)  # the keys as small numbers
-        return stars.met(table.column("part")[0].as_py(), number, at, [more >> 8 * n & 0xFF for n in range(4)], SMALL)
-
-    rows = distinct.select(F.col("text_hash").alias("node"), F.posexplode(F.arrays_zip("keys", "more")).alias("k", "x")).select("node", "k", F.col("x.keys").alias("key"), F.col("x.more").alias("more"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("k", "key"), F.lit(parts)).cast("int"))
-    return rows.groupBy("part").applyInArrow(meet, stars.MET)
-
-
-def roots(documents: DataFrame, distinct: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(node, root): the connected groups of similar texts among distinct (text_hash, n, keys, more)."""
-    met = staged(memberships(distinct))
-    docs = documents.select(F.xxhash64("text").alias("node"), "text").join(met.select("node").distinct(), "node")
-    texts = staged(docs.groupBy("node").agg(F.first("text").alias("text")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept: dict[int, np.ndarray] = {}
-            a, c, ok = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for r, (i, j) in enumerate(zip(a, c)):
-                if len(kept) > 64:
-                    kept.clear()
-                for node, col in ((i, 2), (j, 3)):
-                    if node not in kept:
-                        kept[node] = shingles(b.column(col)[r].as_py())
-                ok.append(similar(kept[i], kept[j], least))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-        trim()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        size = distinct.select("text_hash", "n")
-        pairs = pairs.join(size.toDF("a", "s"), "a").join(size.toDF("b", "t"), "b").filter(F.least("s", "t") >= F.lit(least) * F.greatest("s", "t") - 1e-9)
-        return pairs.select("a", "b").join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-    return stars.roots(met, verify)
-
-
-def representatives(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """documents with one row of each group left, chosen as simhash.representatives does."""
-    rows = staged(sketches(documents))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    distinct = staged(rows.groupBy("text_hash").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("more").alias("more")))
-    own = roots(documents, distinct, least)
-    linked = staged(distinct.join(own, distinct.text_hash == own.node).select("text_hash", "root", "first"))
-    best = linked.groupBy("root").agg(F.min("first").alias("least"))
-    of = linked.select(F.col("text_hash").alias("_t"), "root").join(best, "root")
-    table = distinct.join(of, distinct.text_hash == of._t, "left").select(F.coalesce("root", "text_hash").alias("root"), F.coalesce("least", "first").alias("first"))
-    return one_of_each(documents, rows, table)
+__all__ = ["representatives", "shingles", "similar"]

@@ -13,7 +13,7 @@ fingerprint zero and links like any other; a null doc_id counts in no minimum, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,17 +96,17 @@ def best_split(points: np.ndarray, radius: int, rng: np.random.Generator, tries:
     for v in rng.choice(points, tries):
         d = np.bitwise_count(points ^ v).astype(np.int16)
         sizes = np.bincount(d, minlength=65).cumsum()
-        for mu in range(64):
-            inside, outside = sizes[mu], len(points) - sizes[max(mu - radius, -1)] if mu >= radius else len(points)
-            worst = max(inside, outside)
-            cost = (inside + outside) * (1 + max(0, worst / len(points) - 0.6))
-            if inside and len(points) - sizes[mu] and worst < 0.85 * len(points) and (best is None or cost < best[0]):
-                best = (cost, v, mu, d)
+        inside, outside = sizes[:64], len(points) - np.r_[np.zeros(radius, int), sizes][:64]
+        worst = np.maximum(inside, outside)
+        cost = np.where((inside > 0) & (inside < len(points)) & (worst < 0.85 * len(points)), (inside + outside) * (1 + np.maximum(0, worst / len(points) - 0.6)), np.inf)
+        mu = int(cost.argmin())
+        if cost[mu] < (best[0] if best else np.inf):
+            best = (cost[mu], v, mu, d)
     return best and best[1:]
 
 
-def linked(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (index, index of the least one it reaches) among distinct points, by splitting down to leaves."""
+def linked(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (index, index of the least one it reaches) among points, by splitting down to leaves; also() says which pairs of indices within the radius are links."""
     a, b, rng, todo = [], [], np.random.default_rng(11), [np.arange(len(points))]
     while todo:
         idx = todo.pop()
@@ -116,10 +116,14 @@ def linked(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[
             _, mu, d = split
             todo += [idx[d <= mu], idx[d > mu - radius]]
             continue
-        for at in range(0, len(idx), 1024):  # a leaf, or what no vantage point can tell apart
-            i, j = np.nonzero(np.bitwise_count(own[at : at + 1024, None] ^ own[None, :]) <= radius)
+        step = max(1, min(1024, (1 << 21) // max(len(idx), 1)))
+        for at in range(0, len(idx), step):  # a leaf, or what no vantage point can tell apart
+            i, j = np.nonzero(np.bitwise_count(own[at : at + step, None] ^ own[None, :]) <= radius)
             keep = i + at < j
             i, j = idx[i[keep] + at], idx[j[keep]]
+            if also is not None:
+                ok = also(i, j)
+                i, j = i[ok], j[ok]
             if len(i) > 4 * len(idx):
                 r = local_roots(len(points), i, j)
                 i = np.flatnonzero(r != np.arange(len(points)))
