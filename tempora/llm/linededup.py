@@ -35,8 +35,14 @@ MIN_CHARS, SIMILARITY = 5, 0.8
 GRAM, BINS, BANDS, ROWS, SMALL = 8, 64, 16, 4, 32
 #: Places that the pairs of characters of a line fall on.
 PLACES = 1024
+#: Lines of like lengths whose pairs of characters are compared at once.
+STRIP = 64
 #: Bytes of lines whose fingerprints are made at once.
 PART = 400_000
+#: Of the batches in which edits are counted: cells of a counterdiagonal, characters, and counterdiagonals between two looks at which pairs are settled.
+CELLS, CHARS, STEP = 1 << 16, 1 << 20, 32
+#: Pairs that a batch has at least; fewer are counted one by one. Pairs that may be more edits apart are compared by their words first.
+FEW, PLAIN = 24, 25
 #: Of simhashes() and key_masks(), which the operator itself no longer uses.
 RADIUS = 3
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -79,15 +85,40 @@ def simhashes(word_lists: list[list[bytes]]) -> np.ndarray:
 
 def similarity(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether 1 - edits / the longer length reaches `least`; equal ends are cut off first, and words that agree in order bound the edits from above."""
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    n = _common(a, b)
-    a, b = a[n:], b[n:]
-    if n := _common(a[::-1], b[::-1]):
-        a, b = a[:-n], b[:-n]
-    return max(len(a), len(b)) <= most or _by_words(a.split(" "), b.split(" "), most) or _edits(a, b, most) <= most
+    a, b, most = _cut(a, b, least)
+    return abs(len(a) - len(b)) <= most and (_soon(a, b, most) or _edits(a, b, most) <= most)
+
+
+def _cut(a: str, b: str, least: float) -> tuple[str, str, int]:
+    """Two strings without their equal ends, and the edits that may be between them."""
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) <= most:
+        n = _common(a, b)
+        a, b = a[n:], b[n:]
+        if n := _common(a[::-1], b[::-1]):
+            a, b = a[:-n], b[:-n]
+    return a, b, most
+
+
+def _soon(a: str, b: str, most: int) -> bool:
+    return max(len(a), len(b)) <= most or _by_words(a.split(" "), b.split(" "), most)
+
+
+def similar(a: list[str], b: list[str], least: float = SIMILARITY, alike: bool = True) -> np.ndarray:
+    """similarity() of a[i] and b[i] for all i, with the edits counted in batches; alike: many may be settled by their words."""
+    out, open_ = np.zeros(len(a), bool), []
+    for i, pair in enumerate(zip(a, b)):
+        x, y, most = _cut(*pair, least)
+        if abs(len(x) - len(y)) > most:
+            continue
+        if max(len(x), len(y)) <= most or alike and most > PLAIN and _soon(x, y, most):
+            out[i] = True
+        else:
+            open_.append((i, x, y, most) if len(x) <= len(y) else (i, y, x, most))
+    if open_:
+        at, x, y, most = zip(*open_)
+        out[list(at)] = _within(x, y, np.array(most))
+    return out
 
 
 def _common(a: str, b: str) -> int:
@@ -148,6 +179,104 @@ def _edits(a: str, b: str, most: int) -> int:
     return score
 
 
+def _within(a: tuple[str, ...], b: tuple[str, ...], most: np.ndarray) -> np.ndarray:
+    """Whether a[i] and the longer b[i] are most[i] edits apart at most; pairs of about the same length and edits make a batch."""
+    size = np.fromiter(map(len, b), np.int64, len(b))
+    kind = (np.log(most + 32) / np.log(1.5)).astype(np.int64)
+    order = np.lexsort((size, kind))
+    kind, size, out, at = kind[order], size[order], np.zeros(len(a), bool), 0
+    while at < len(order):
+        stop = min(at + max(1, min(4096, CELLS // (int(most[order[at]]) // 2 + 1), CHARS // int(size[at]))), int(np.searchsorted(kind, kind[at], "right")))
+        stop = at + int(np.searchsorted(size[at:stop], 1.5 * size[at] + 32, "right"))
+        own = order[at:stop].tolist()
+        if len(own) < FEW or int(most[own].max()) + STEP >= 1 << 16:
+            out[own] = [_edits(a[i], b[i], k) <= k for i, k in zip(own, most[own].tolist())]
+        else:
+            out[own] = _batch([a[i] for i in own], [b[i] for i in own], most[own])
+        at = stop
+    return out
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """The characters of all texts as numbers, of one byte if that is enough to tell them apart."""
+    whole = "".join(texts)
+    try:
+        return np.frombuffer(whole.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        there = np.zeros(int(c.max()) + 1, bool)
+        there[c] = True
+        n = np.count_nonzero(there)
+        to = np.zeros(len(there), np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32)
+        to[there] = np.arange(n)
+        return to[c]
+
+
+def _grid(codes: np.ndarray, sizes: np.ndarray, rows: int, flip: bool) -> np.ndarray:
+    """A column of so many rows for each text: its characters from row 1 on, or from the last but one upwards."""
+    out = np.zeros((len(sizes), rows), codes.dtype)
+    col = np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), rows - 1 - col if flip else col] = codes
+    return np.ascontiguousarray(out.T)
+
+
+def _batch(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """_within() for one batch: edit distances of all its pairs, counterdiagonal by counterdiagonal, on the diagonals (places in b less places in a) that so few edits can reach.
+
+    Even and odd diagonals have an array each, whose rows are diagonals and whose columns are pairs; what is more than all of `most` counts as one more. A pair
+    goes once it is settled or each of its cells needs too many edits, those to the diagonal of its end included. Numbers are bytes where they fit, else of two bytes.
+    """
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    delta, end = n - m, n + m
+    spare = (most - delta) // 2
+    left, right, last, cap = int(spare.max()), int((delta + spare).max()), int(end.max()), int(most.max()) + 1
+    number = np.uint8 if cap + STEP <= 255 else np.uint16
+    codes, rows = _codes([*a, *b]), last // 2 + max(left, right) + 3
+    if by_xor := number is np.uint16 and codes.itemsize <= 2:  # adding truth values to longer numbers is slow
+        codes = codes.astype(np.uint16)
+    x, y = _grid(codes[: int(m.sum())], m, rows, True), _grid(codes[int(m.sum()) :], n, rows, False)
+    base = left + left % 2 + 2
+    many = (base + right) // 2 + 3
+    d = [np.full((many, len(a)), cap, number) for _ in range(2)]
+    d[0][base // 2] = 0
+    bound = [np.clip(most - np.abs(2 * np.arange(many)[:, None] + p - base - delta), 0, cap).astype(number) for p in range(2)]
+    of, ends, out = np.arange(len(a)), set(end.tolist()), np.zeros(len(a), bool)
+    step, unlike = np.empty((many, len(a)), number), np.empty((many, len(a)), number if by_xor else bool)
+    one = np.ones((1, len(a)), number)  # a row: with a plain number numpy is ten times slower
+    for s in range(1, last + 1):
+        low, high = max(-left, -s), min(right, s)
+        low += (s - low) % 2
+        c = (high - low) // 2 + 1
+        if c > 0:
+            p, u = (low + base) % 2, (low + base) // 2
+            i, j, o = (s - low) // 2, (s + low) // 2, u - 1 + p
+            own, other = d[p][u : u + c], d[1 - p]
+            if by_xor:
+                np.bitwise_xor(x[rows - 1 - i : rows - 1 - i + c], y[j : j + c], out=unlike[:c])
+                own += np.minimum(unlike[:c], one, out=unlike[:c])
+            else:
+                np.not_equal(x[rows - 1 - i : rows - 1 - i + c], y[j : j + c], out=unlike[:c])
+                own += unlike[:c].view(np.uint8)
+            np.minimum(other[o : o + c], other[o + 1 : o + 1 + c], out=step[:c])
+            step[:c] += 1
+            np.minimum(own, step[:c], out=own)
+        if s in ends:
+            at = np.flatnonzero(end == s)
+            out[of[at]] = d[s % 2][(delta[at] + base) // 2, at] <= most[at]
+        if s % STEP == 0:
+            for v in d:
+                np.minimum(v, cap * one, out=v)
+            stay = (end > s) & ((d[0] <= bound[0]).any(0) | (d[1] <= bound[1]).any(0))
+            left_over = np.count_nonzero(stay)
+            if not left_over:
+                break
+            if left_over < 0.8 * len(of):
+                of, end, delta, most = of[stay], end[stay], delta[stay], most[stay]
+                x, y, one, *both = (v.compress(stay, 1) for v in (x, y, one, *d, *bound))  # indexing would leave columns together, not rows
+                d, bound, step, unlike = both[:2], both[2:], step[:, :left_over].copy(), unlike[:, :left_over].copy()
+    return out
+
+
 def norms(text: str | None) -> list[bytes]:
     """The normalised lines of a text, the empty ones too."""
     data = _plain(text or "")
@@ -315,13 +444,11 @@ def _bigrams(texts: list[str]) -> np.ndarray:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), sizes)
-    pair, own = c[:-1] << np.uint64(21) | c[1:], row[:-1]
-    inner = own == row[1:]
-    pair, own = pair[inner], own[inner]
-    order = np.lexsort((pair, own))
-    pair, own = pair[order], own[order]
-    new = np.r_[True, (pair[1:] != pair[:-1]) | (own[1:] != own[:-1])][: len(pair)]
-    nth = np.arange(len(pair)) - np.maximum.accumulate(np.where(new, np.arange(len(pair)), 0))
+    inner = row[:-1] == row[1:]
+    both = np.sort((row[:-1].astype(np.uint64) << np.uint64(42) | c[:-1] << np.uint64(21) | c[1:])[inner])  # 22 bits for the text
+    own, pair = (both >> np.uint64(42)).astype(np.int64), both & np.uint64((1 << 42) - 1)
+    new = np.r_[True, both[1:] != both[:-1]][: len(both)]
+    nth = np.arange(len(both)) - np.maximum.accumulate(np.where(new, np.arange(len(both)), 0))
     h = (pair + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
     out = np.zeros((len(texts), PLACES), np.float32)
     out[own, (h >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)] = 1
@@ -332,12 +459,24 @@ def near(texts: list[str], x: np.ndarray, y: np.ndarray, least: float) -> tuple[
     """The pairs of a text of x and one of y (as numbers of texts) that may be similar by their lengths and pairs of characters; no similar pair is left out."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ones = _bigrams(texts)
-    many = ones.sum(1)
-    most = ((1 - least) * np.maximum(size[x][:, None], size[y][None, :]) + 1e-9).astype(np.int64)
-    apart = many[x][:, None] + many[y][None, :] - 2 * (ones[x] @ ones[y].T)
-    may = (np.abs(size[x][:, None] - size[y][None, :]) <= most) & (apart <= 4 * most)
-    i, j = np.nonzero(np.triu(may, 1) if x is y else may)
-    return x[i], y[j]
+    # less than 2 ** 24, so exact; the longer text of two sets what is left of their similarity
+    many, edits, size_ = ones.sum(1), ((1 - least) * size + 1e-9).astype(np.int64).astype(np.float32), size.astype(np.float32)
+    p, q = (np.sort(z) if least <= 0 else z[np.argsort(size[z], kind="stable")] for z in (x, y))
+    ones_q, size_q, found = np.ascontiguousarray(ones[q].T), size[q], []
+    for k in range(0, len(p), STRIP):
+        r = p[k : k + STRIP]
+        v = slice(0, len(q)) if least <= 0 else slice(*np.searchsorted(size_q, [least * size[r[0]] - 1, size[r[-1]] / least + 1]).tolist())
+        w = q[v]
+        most = np.maximum(edits[r][:, None], edits[w])
+        may = many[r][:, None] + many[w] - 2 * (ones[r] @ ones_q[:, v]) <= 4 * most
+        may &= np.abs(size_[r][:, None] - size_[w]) <= most
+        i, j = np.nonzero(may)
+        found.append((r[i], w[j]))
+    i, j = (np.concatenate(z) for z in zip(*found)) if found else (p, p)
+    if x is y:
+        i, j = i[i < j], j[i < j]
+    order = np.lexsort((j, i))
+    return i[order], j[order]
 
 
 def joined(node: np.ndarray, root: np.ndarray, texts: list[str], groups: list[list[int]], x: np.ndarray, y: np.ndarray, grp: int, least: float = SIMILARITY) -> tuple[list[int], list[int]]:
@@ -351,11 +490,18 @@ def joined(node: np.ndarray, root: np.ndarray, texts: list[str], groups: list[li
         return r
 
     sets, a, b = [frozenset(g) for g in groups], [], []
-    for i, j in zip(*(c.tolist() for c in near(texts, x, y, least))):
-        if (r := find(int(root[i]))) != (s := find(int(root[j]))) and min(sets[i] & sets[j]) == grp and similarity(texts[i], texts[j], least):
-            up[max(r, s)] = min(r, s)
-            a.append(int(node[i]))
-            b.append(int(node[j]))
+    i, j = near(texts, x, y, least)
+    apart = root[i] != root[j]
+    left = [(p, q) for p, q in zip(i[apart].tolist(), j[apart].tolist()) if min(sets[p] & sets[q]) == grp]
+    at, many = 0, 512
+    while at < len(left):  # what earlier pairs have joined isn't compared
+        some = [(p, q) for p, q in left[at : at + many] if find(int(root[p])) != find(int(root[q]))]
+        at, many = at + many, min(4 * many, 8192)
+        for (p, q), good in zip(some, similar([texts[p] for p, _ in some], [texts[q] for _, q in some], least, alike=False).tolist()):
+            if good and (r := find(int(root[p]))) != (s := find(int(root[q]))):
+                up[max(r, s)] = min(r, s)
+                a.append(int(node[p]))
+                b.append(int(node[q]))
     return a, b
 
 
@@ -366,7 +512,7 @@ def roots(documents: DataFrame, distinct: DataFrame, least: float = SIMILARITY)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["a", "b"]][[similarity(x, y, least) for x, y in zip(b["x"], b["y"])]]
+            yield b[["a", "b"]][similar(b["x"].tolist(), b["y"].tolist(), least)]
         trim()
 
     def verify(pairs: DataFrame) -> DataFrame:

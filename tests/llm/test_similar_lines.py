@@ -1,5 +1,7 @@
 """Line dedup against edit similarities of all pairs."""
 
+import time
+
 import numpy as np
 
 from tempora.llm import linededup, stars
@@ -63,6 +65,47 @@ def test_no_similar_pair_is_lost_before_its_edits_are_counted():
     assert {(i, j) for i, j in pairs if i % 2 == 0 and j % 2} <= set(zip(*(c.tolist() for c in linededup.near(rows, even, odd, 0.8))))
 
 
+def _distance(a, b):
+    row = np.arange(len(b) + 1)
+    for i, c in enumerate(a, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + np.array([c != d for d in b], int))
+        new = np.concatenate([[i], new])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def test_edits_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(11)
+    pairs = [("a" * 30, "a" * 24), ("", "abc"), ("abc", ""), ("", ""), ("abcde", "abcde"), ("ab" * 40, "ba" * 40), ("日本語の行です。" * 5, "日本語の列です。" * 5)]
+    for letters in ("ab", "abcdefghij ", "äöü€語xyz", "".join(map(chr, range(0x4E00, 0x4E00 + 700)))):
+        for n in [*range(5, 60, 3)] * 3 + [150, 300] * 5:
+            a = list(rng.choice(list(letters), n))
+            b = list(a)
+            for _ in range(int(rng.integers(0, n // 2 + 2))):
+                k = int(rng.integers(0, len(b) + 1))
+                b[k : k + int(rng.integers(0, 2))] = list(rng.choice(list(letters), int(rng.integers(0, 3))))
+            pairs += [("".join(a), "".join(b)), ("".join(b), "".join(a))]
+    long = ["".join(rng.choice(list("abcdefg "), 1400)) for _ in range(30)]
+    pairs += [(x, x[k:] + x[:k]) for k, x in zip(range(0, 300, 10), long)]  # more edits than a byte holds
+    for least in (0.8, 0.6, 0.95):
+        want = [_distance(a, b) <= int((1 - least) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+        for alike in (True, False):
+            assert linededup.similar([a for a, _ in pairs], [b for _, b in pairs], least, alike).tolist() == want
+        assert [linededup.similarity(a, b, least) for a, b in pairs] == want and 50 < sum(want) < len(want)
+
+
+def test_edits_of_many_pairs_cost_less_than_one_by_one():
+    rng = np.random.default_rng(12)
+    shared = " ".join(_words(rng, 70))
+    rows = [" ".join(_words(rng, 25)) + " " + shared + " " + " ".join(_words(rng, 25)) for _ in range(40)]
+    a, b = zip(*((x, y) for x in rows for y in rows if x < y and 0.8 * max(len(x), len(y)) <= min(len(x), len(y))))
+    began = time.process_time()
+    got = linededup.similar(list(a), list(b), alike=False)
+    between = time.process_time()
+    assert got.tolist() == [linededup.similarity(x, y) for x, y in zip(a, b)] and len(a) > 500
+    assert 2 * (between - began) < time.process_time() - between
+
+
 def test_similar_lines_of_a_large_key_go(spark):
     rng = np.random.default_rng(10)
     shared = " ".join(_words(rng, 25))  # more than half of a line, yet too little for the lines to be similar
