@@ -1,9 +1,11 @@
 """Fuzzy line dedup.
 
 Lines are normalised (letters lower-cased, digits as 0, words joined by one space); equal ones collapse to one row that knows its first occurrence.
-A line's fingerprint is ``BINS`` numbers: the grams of ``GRAM`` bytes are dealt to as many bins by a hash, and each bin keeps the least of another hash, which a small
-edit barely moves. Lines are candidates if their fingerprints agree in one of ``BANDS`` blocks of ``ROWS`` numbers. A block that more than ``SMALL`` lines share is
-split by further numbers of the fingerprint, and each part stays tied to the least line of the whole, so a hot block whose lines are alike costs rows in
+A line's fingerprint is ``BINS`` numbers: its grams of some bytes (``FULL``) are dealt to as many bins by a hash, and each bin keeps the least of another hash, which a small
+edit barely moves; an empty bin takes a number from a bin drawn for it, so that hardly any block hangs on a single gram, which unlike lines share. Lines are candidates
+if their fingerprints agree in one of ``BANDS`` blocks of ``ROWS`` numbers. Short lines have few grams, so they have further keys: blocks of minima of shorter
+grams (``SETS``), and up to ``TINY`` characters all that is left when one or two characters go, which any two such lines that are similar share. A block that more than ``SMALL`` lines
+share is split by further numbers of the fingerprint, and each part stays tied to the least line of the whole, so a hot block whose lines are alike costs rows in
 proportion to its lines (see stars). Lines of a hot block that are still in different groups then are all compared, after a bound by the pairs of characters
 they share, which leaves no similar pair out (near). All candidates are verified by edit similarity, and the verified links' connected groups keep the
 occurrence that comes first by (doc_id, line number).
@@ -32,7 +34,13 @@ from tempora.llm.common import column, fresh, shuffle_parts, slices, staged, tri
 from tempora.llm.decontam import masks
 
 MIN_CHARS, SIMILARITY = 5, 0.8
-GRAM, BINS, BANDS, ROWS, SMALL = 8, 64, 16, 4, 32
+BINS, BANDS, ROWS, SMALL = 64, 16, 4, 32
+#: Of fingerprints: the bytes that a line has at least and at most, and the bytes of a gram.
+FULL = ((21, 160, 6), (128, 1 << 40, 8))
+#: Of further keys: the bytes that a line has at least and at most, the bytes of a gram, and the blocks and the minima in each.
+SETS = ((12, 28, 3, 64, 5), (24, 48, 4, 32, 5), (40, 72, 6, 16, 4))
+#: Similar lines of so many characters at most are two edits apart, or one up to 9 characters; those of TWO and more may be two edits from a longer one.
+TINY, TWO = 14, 8
 #: Places that the pairs of characters of a line fall on.
 PLACES = 1024
 #: Lines of like lengths whose pairs of characters are compared at once.
@@ -347,56 +355,124 @@ def key_masks(n: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in itertools.combinations(own, agree)]
 
 
-def fingerprints(norms: list[bytes]) -> np.ndarray:
-    """A row of BINS numbers for each line; an empty bin takes the number of the next one that isn't, and how far that is."""
-    pad, count = GRAM - 1, len(norms)
-    data = np.frombuffer((b"\0" * pad).join([*norms, b"\0" * GRAM]), np.uint8)
+#: For each bin the order in which the others are asked for a number if it is empty.
+_ASKED = np.argsort(np.random.default_rng(5).random((BINS, BINS)), axis=1)
+
+
+def _grams(norms: list[bytes], size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, line) of the grams of so many bytes from each place of each line; the last ones are filled up with zeros, or left out if only whole ones count."""
+    pad, count = size - 1, len(norms)
+    data = np.frombuffer((b"\0" * pad).join([*norms, b"\0" * 8]), np.uint8)
     sizes = np.fromiter(map(len, norms), np.int64, count)
     n = int(sizes.sum()) + pad * count
-    h = np.ndarray((n,), "<u8", data.data, 0, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)  # the GRAM bytes from each place on
+    h = np.ndarray((n,), "<u8", data.data, 0, (1,)) & np.uint64((1 << 8 * size) - 1)
+    row = np.repeat(np.arange(count), sizes + pad)
+    own = np.ones(n, bool)
+    stop = np.cumsum(sizes + pad)
+    for k in range(1, pad + 1 + whole * pad):
+        own[stop - k] = False  # what begins between two lines belongs to none
+    h = h[own] * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    low, high = h.view("<u4")[::2], h.view("<u4")[1::2]
-    at = np.repeat(np.arange(count) * BINS, sizes + pad)
-    at += high >> np.uint32(32 - BINS.bit_length() + 1)
-    stop = np.cumsum(sizes + pad)
-    for k in range(1, pad + 1):
-        at[stop - k] = count * BINS  # what begins between two lines belongs to none
-    out = np.full((count + 1) * BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(out, at, low)
-    out = out[:-BINS].reshape(count, BINS)
-    here = np.where(out == 0xFFFFFFFF, 2 * BINS, np.arange(BINS)).astype(np.int16)
-    here = np.concatenate([here, here + np.int16(BINS)], 1)
-    near = np.minimum.accumulate(here[:, ::-1], 1)[:, ::-1][:, :BINS] % (2 * BINS)
-    far = (near - np.arange(BINS, dtype=np.int16)).astype(np.uint32)
-    return np.take_along_axis(out, (near % BINS).astype(np.int64), 1) + far * np.uint32(0x9E3779B1)
-
-
-def _blocks(norms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, further): for every line the 64-bit keys of its blocks, and for each of them two bytes of other numbers."""
-    keys, further, at, size = [], [], 0, 0
+    return h, row[own]
+
+
+def fingerprints(norms: list[bytes], gram: int) -> np.ndarray:
+    """A row of BINS numbers for each line; an empty bin takes the number of the first bin, in an order of its own, that isn't."""
+    h, at = _grams(norms, gram, False)
+    out = np.full(len(norms) * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(out, at * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), h.astype(np.uint32))
+    out = out.reshape(-1, BINS)
+    full = out != 0xFFFFFFFF
+    row, bin_ = np.nonzero(~full)
+    for nth in range(BINS):
+        if not len(row):
+            break
+        ask = _ASKED[bin_, nth]
+        good = full[row, ask]
+        out[row[good], bin_[good]] = out[row[good], ask[good]]
+        row, bin_ = row[~good], bin_[~good]
+    return out
+
+
+def _mixed(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    key = (key ^ number) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ key >> np.uint64(29)
+
+
+def _minima(norms: list[bytes], gram: int, bands: int, rows: int, nth: int) -> np.ndarray:
+    """For each line the keys of so many blocks of minima of its whole grams, each under a hash of its own; sets of keys differ by their number."""
+    h, at = _grams(norms, gram, True)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    odd = np.random.default_rng(nth).integers(1 << 63, size=(bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    key = np.zeros((len(norms), bands), np.uint64) + np.arange(bands, dtype=np.uint64) + np.uint64(nth + 1 << 32)
+    for band in range(bands):
+        for r in range(rows):
+            g = h * odd[band, r]
+            g ^= g >> np.uint64(32)
+            key[:, band] = _mixed(key[:, band], np.minimum.reduceat(g, first))
+    return key
+
+
+def _shorter(norms: list[bytes]) -> list[tuple[int, int]]:
+    """(number of a line, key) of what is left of each line of TINY characters at most when no, one or, from TWO characters on, two characters go."""
+    out = []
+    for i, x in enumerate(norms):
+        if len(x) <= 4 * TINY and len(t := x.decode("utf-8", "surrogatepass")) <= TINY:
+            left = {t[:k] + t[k + 1 :] for k in range(len(t))}
+            if len(t) >= TWO:
+                left |= {t[:j] + t[j + 1 : k] + t[k + 1 :] for k in range(len(t)) for j in range(k)}
+            out += [(i, xxhash.xxh64_intdigest(z.encode("utf-8", "surrogatepass"), 7)) for z in left | {t}]
+    return out
+
+
+def _keys(norms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, further) of some lines, as _blocks() has them."""
+    size, found = np.fromiter(map(len, norms), np.int64, len(norms)), []
+
+    def put(at: np.ndarray, key: np.ndarray, number: np.ndarray) -> None:
+        bands = key.shape[1]
+        number = number & np.uint32(0xFF)
+        further = (np.roll(number, 5 * bands // 16, 1) | np.roll(number, 11 * bands // 16, 1) << np.uint32(8)).astype(np.uint16)
+        found.append((np.repeat(at, bands), key.reshape(-1), further.reshape(-1)))
+
+    for least, most, gram in FULL:
+        if len(at := np.flatnonzero((size >= least) & (size <= most))):
+            f = fingerprints([norms[i] for i in at.tolist()], gram)
+            k = np.zeros((len(f), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64) + np.uint64(gram << 48)
+            for r in range(ROWS):
+                k = _mixed(k, f.reshape(-1, BANDS, ROWS)[:, :, r])
+            put(at, k, f[:, ::ROWS])
+    for nth, (least, most, gram, bands, rows) in enumerate(SETS):
+        if len(at := np.flatnonzero((size >= least) & (size <= most))):
+            k = _minima([norms[i] for i in at.tolist()], gram, bands, rows, nth)
+            put(at, k, (k >> np.uint64(13)).astype(np.uint32))
+    if left := _shorter(norms):
+        at, k = (np.array(x, d) for x, d in zip(zip(*left), (np.int64, np.uint64)))
+        found.append((at, k, np.zeros(len(k), np.uint16)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _blocks(norms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, further): for every line (its number) its 64-bit keys, and for each of them two bytes of other numbers; lines have MIN_CHARS bytes at least."""
+    found, begin, size = [], 0, 0
     for i, x in enumerate(norms):
         size += len(x) + 64
         if size >= PART or i == len(norms) - 1:
-            f, at, size = fingerprints(norms[at : i + 1]), i + 1, 0
-            k = np.zeros((len(f), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                k = (k ^ f.reshape(-1, BANDS, ROWS)[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-                k ^= k >> np.uint64(29)
-            keys.append(k)
-            first = f[:, ::ROWS] & np.uint32(0xFF)
-            further.append((np.roll(first, 5, 1) | np.roll(first, 11, 1) << np.uint32(8)).astype(np.uint16))
-    if not keys:
-        return np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS), np.uint16)
-    return np.concatenate(keys), np.concatenate(further)
+            at, *rest = _keys(norms[begin : i + 1])
+            found.append((at + begin, *rest))
+            begin, size = i + 1, 0
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def band_rows(norms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(index of a line, key) of all keys of normalised lines; different blocks have different keys."""
-    keys, _ = _blocks(norms)
-    return np.repeat(np.arange(len(norms)), BANDS), keys.view(np.int64).reshape(-1)
+    at, key, _ = _blocks(norms)
+    return at, key.view(np.int64)
 
 
 def memberships(documents: DataFrame) -> DataFrame:
@@ -414,12 +490,11 @@ def memberships(documents: DataFrame) -> DataFrame:
                     continue
                 size = _chars(own)
                 own = [x for x, n in zip(own, size.tolist()) if n >= MIN_CHARS]
-                key, further = _blocks(own)
-                key, further = key.reshape(-1), further.reshape(-1)
+                at, key, further = _blocks(own)
                 part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                key, further, node = key.astype(np.uint32)[order], further[order], line_hashes(own)[:, 0][order // BANDS]
+                key, further, node = key.astype(np.uint32)[order], further[order], line_hashes(own)[:, 0][at[order]]
                 out = [(k, *(c[x:y].tobytes() for c in (key, further, node))) for k, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if x < y]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[c] for r in out], pa.binary()) for c in range(1, 4))], names=["part", "key", "further", "node"])
         trim()

@@ -45,6 +45,31 @@ def test_lines_with_changed_words_go(spark):
     assert set(root) <= left and len(left - set(root)) <= 2
 
 
+def test_unlike_lines_with_one_end_share_hardly_any_key():
+    rng = np.random.default_rng(14)
+    most = []
+    for n in (1000, 4000):
+        at, key = linededup.band_rows([(" ".join(_words(rng, int(rng.integers(2, 12)))) + " end.").encode() for _ in range(n)])
+        most.append(np.unique(key, return_counts=True)[1].max())
+    assert max(most) <= linededup.SMALL
+
+
+def test_all_similar_lines_of_few_characters_are_candidates():
+    rng = np.random.default_rng(15)
+    rows = []
+    for n in [*range(5, 15)] * 20:
+        a = list(rng.choice(list("abcdeé語 "), n))
+        b = list(a)
+        for _ in range(int(0.2 * n)):
+            k = int(rng.integers(0, len(b)))
+            b[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("abcxyz"), int(rng.integers(0, 2))))
+        rows += ["".join(a), "".join(b)]
+    at, key = linededup.band_rows([x.encode() for x in rows])
+    keys = [set(key[at == i].tolist()) for i in range(len(rows))]
+    pairs = [(i, i + 1) for i in range(0, len(rows), 2) if rows[i] != rows[i + 1] and 5 <= min(map(len, rows[i : i + 2])) and max(map(len, rows[i : i + 2])) <= 14 and linededup.similarity(*rows[i : i + 2])]
+    assert len(pairs) > 100 and all(keys[i] & keys[j] for i, j in pairs)
+
+
 def test_every_pair_of_a_large_key_is_compared(spark):
     n = 700  # more rows than a block has
     for few in (16, n // 2):
