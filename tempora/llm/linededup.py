@@ -408,11 +408,13 @@ def _minima(norms: list[bytes], gram: int, bands: int, rows: int, nth: int) -> n
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     odd = np.random.default_rng(nth).integers(1 << 63, size=(bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     key = np.zeros((len(norms), bands), np.uint64) + np.arange(bands, dtype=np.uint64) + np.uint64(nth + 1 << 32)
-    for band in range(bands):
+    some = max(1, (1 << 18) // (len(h) * rows))  # bands at once: many small steps would cost more than the hashes
+    for band in range(0, bands, some):
+        g = h[:, None] * odd[band : band + some].reshape(-1)
+        g ^= g >> np.uint64(32)
+        least = np.minimum.reduceat(g, first, axis=0).reshape(len(norms), -1, rows)
         for r in range(rows):
-            g = h * odd[band, r]
-            g ^= g >> np.uint64(32)
-            key[:, band] = _mixed(key[:, band], np.minimum.reduceat(g, first))
+            key[:, band : band + some] = _mixed(key[:, band : band + some], least[:, :, r])
     return key
 
 
